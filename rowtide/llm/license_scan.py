@@ -1,6 +1,6 @@
 """License scan by canonical digests.
 
-A text is brought to a canonical form (A-Z lower-cased, copyright lines dropped,
+A text is brought to a canonical form (lower-cased, copyright lines dropped,
 punctuation and white space run together, equivalent spellings unified) and the
 SHA-256 of that form is hash-joined to the digests of known licences.  The whole text
 is looked up, and so is each of its lines, which finds notices inside other prose.
@@ -21,8 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
-from .url_filter import LOWER, UPPER
+from .common import cut, text_or_empty
 
 #: Digests of 64 bytes and an id each: at most some 10 MB are broadcast.
 BROADCAST_LICENSES = 100_000
@@ -125,39 +124,60 @@ KNOWN = (
 )
 
 
-def canonical(text: Column) -> Column:
-    """The form whose digest is looked up."""
-    plain = F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT, " ")
+def canonical_lines(text: Column) -> Column:
+    """The canonical form with its line feeds kept, so that each line is in it too."""
+    plain = F.regexp_replace(F.lower(text), COPYRIGHT, " ")
     # Typographic quotes, dashes and signs count as punctuation; other letters stay.
-    plain = F.trim(F.regexp_replace(plain, r"[\x00-/:-@\[-`{-\x7f\xa0\xa9‐-―‘-‟…]+", " "))
+    plain = F.regexp_replace(plain, r"[\x00-\x09\x0b-/:-@\[-`{-\x7f\xa0\xa9‐-―‘-‟…]+", " ")
     return reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS, plain)
 
 
+def one_line(lines: Column) -> Column:
+    return F.trim(F.regexp_replace(lines, "[ \n]+", " "))
+
+
+def canonical(text: Column) -> Column:
+    """The form whose digest is looked up."""
+    return one_line(canonical_lines(text))
+
+
 def registry(spark: SparkSession, known: tuple = KNOWN) -> DataFrame:
-    """(digest, license): the least id of each digest."""
-    rows = spark.createDataFrame([(i, t) for i, t in known], "license string, text string")
-    return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    """(digest, license, short): the least id of each digest; short is a 64-bit hash."""
+    rows = spark.createDataFrame([(i, t) for i, t in known], "license string, text string").select("license", canonical(F.col("text")).alias("form"))
+    return rows.groupBy(F.sha2("form", 256).alias("digest"), F.xxhash64("form").alias("short")).agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, digest, license (of the whole text), n_notices,
-    notices (ids that whole lines match, sorted)."""
+    notices (ids that whole lines match, sorted).
+
+    Texts are read and brought to form once.  A short hash of each line, looked up in a
+    set no larger than a broadcast registry, keeps lines that match nothing from leaving
+    the scan; the digest join decides.
+    """
     # The digest of the empty form is no licence.
-    licenses = licenses.where(F.col("digest") != F.sha2(F.lit(""), 256))
-    if licenses.limit(BROADCAST_LICENSES + 1).count() <= BROADCAST_LICENSES:
+    licenses = cut(licenses.where(F.col("digest") != F.sha2(F.lit(""), 256)))
+    small = licenses.limit(BROADCAST_LICENSES + 1).count() <= BROADCAST_LICENSES
+    keep = lambda line: F.length(line) > 0
+    if small:
+        known = [r["short"] for r in licenses.select("short").distinct().collect()]
+        keep = lambda line: F.xxhash64(line).isin(known)
         licenses = F.broadcast(licenses)
+    licenses = licenses.drop("short")
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    lines = rows.where(F.instr("text", "\n") > 0).select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    hits = lines.select("doc_id", "h", "line", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(licenses, "digest")
-    # Rows that repeat id and text hit the same lines again.
-    notices = hits.select("doc_id", "h", "line", "license").distinct().groupBy("doc_id", "h").agg(
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), canonical_lines(text).alias("lines"))
+    several = F.when(F.instr("lines", "\n") > 0, F.filter(F.transform(F.split("lines", "\n"), lambda line: F.trim(line)), keep)).otherwise(F.array().cast("array<string>"))
+    scanned = cut(rows.select("doc_id", "h", F.sha2(one_line(F.col("lines")), 256).alias("digest"), several.alias("lines")))
+    # Rows that repeat id and text hold the same lines.
+    lines = scanned.where(F.size("lines") > 0).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", F.explode("lines").alias("line"))
+    hits = lines.select("doc_id", "h", F.sha2("line", 256).alias("digest")).join(licenses, "digest")
+    notices = hits.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(
         F.count(F.lit(1)).alias("n_notices"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices")
     )
-    whole = rows.select("doc_id", "h", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(licenses, "digest", "left")
-    same = whole["doc_id"].eqNullSafe(notices["doc_id"]) & (whole["h"] == notices["h"])
+    whole = scanned.select("doc_id", "h", "digest").join(licenses, "digest", "left")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))
     return whole.join(notices, same, "left").select(
-        whole["doc_id"], "digest", "license", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices")
+        "doc_id", "digest", "license", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices")
     )
 
 
@@ -166,7 +186,7 @@ def oracle(known: tuple = KNOWN) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
     def form(x: str) -> str:
-        x = f"regexp_replace(translate({x}, '{UPPER}', '{LOWER}'), {quote(COPYRIGHT)}, ' ', 'g')"
+        x = f"regexp_replace(lower({x}), {quote(COPYRIGHT)}, ' ', 'g')"
         x = rf"trim(regexp_replace({x}, '[\x00-/:-@\[-`{{-\x7f\x{{a0}}\x{{a9}}\x{{2010}}-\x{{2015}}\x{{2018}}-\x{{201f}}\x{{2026}}]+', ' ', 'g'))"
         return reduce(lambda y, pair: f"replace({y}, '{pair[0]}', '{pair[1]}')", SPELLINGS, x)
 
