@@ -81,7 +81,9 @@ def exact_groups(
     )
     hashed = cut(hashed)
     alive = hashed.where("alive").drop("alive")
-    groups = (
+    # Written apart, so that both sides of the join below are plain exchanges, whose hot
+    # partitions Spark can split; an aggregate feeding the join would forbid that.
+    groups = cut(
         alive.groupBy("n_bytes", "full_hash")
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
