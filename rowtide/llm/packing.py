@@ -7,12 +7,12 @@ length down, the gap it leaves is looked up among single lengths, sums of two an
 sums of three, and a hit is consumed as often as the counts allow; what is left is
 placed best-fit, longest first, in counted groups of equal gaps.  A plan step holds
 for a run of ranks of a length, so pieces find their place by their rank among the
-pieces of that length.  Ranks are counted in slices of bounded size, hence no length,
+pieces of that length.  Ranks are counted in salted slices of bounded size, hence no length,
 however common, has to pass through one task.
 
 Defined cases: a null text counts as empty and makes one piece holding only the end
 id; longer documents alone are cut; repeated rows (and repeated ids) are packed one
-by one, told apart by a salt-free order over all their columns; an empty table gives
+by one, told apart by their order of rank alone; an empty table gives
 an empty result; extra columns are not looked at.
 """
 
@@ -32,17 +32,13 @@ from .common import cut, map_arrow, texts_of
 from .token_count import tokenizer
 
 CAPACITY = 2048
-#: Pieces of one length that are ranked in one task.
-RANKED_AT_ONCE = 1_000_000
+#: Pieces of one length that are ranked in one task: a thousandth of all, but at most
+#: the first number and not less than the second.
+RANKED_AT_ONCE = (1_000_000, 1_000)
 #: Words whose ids are cached in a worker; the cache then starts afresh.
 CACHE_WORDS = 800_000
 
 
-def _plain(word: str) -> bool:
-    """Letters only, of a kind that the normaliser maps to letters one by one."""
-    return word.isalpha() and max(word) <= "\xff"
-
-
 class WordIds:
     """Ids by the tokenizers library, word by word.
 
@@ -60,20 +56,19 @@ class WordIds:
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
 
-    def _add(self, words: list[str]) -> None:
-        plain = [w for w in words if _plain(w)]
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
+    def _letters(self, words: list[str]) -> None:
+        """Words of letters that the normaliser maps one by one: a token run each."""
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
             ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part) and (not len(part) or stops[-1] == len(ids)):
+            if len(stops) == len(part) and stops[-1] == len(ids):
                 coded, a = ids.tobytes(), 0
                 for w, b in zip(part, (stops * 4).tolist(), strict=True):
                     self.cache[w] = coded[a:b]
                     a = b
             else:
                 self._one_by_one(part)
-        self._one_by_one([w for w in words if not _plain(w)])
 
     def _one_by_one(self, words: list[str]) -> None:
         for w, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
@@ -85,26 +80,29 @@ class WordIds:
             self.cache.clear()
             self.cache[""] = b""
         cache = self.cache
-        split = []
+        split, latin, other = [], [], []
         for x in texts:
             try:
                 x.encode("latin-1")  # there, lowering commutes with the normaliser
                 x = x.lower()
+                kind = latin
             except UnicodeEncodeError:
-                pass
-            split.append(x.replace("\n", " ").split(" "))
-        unknown = {w for words in split for w in set(words) if w not in cache}
-        marked, plain = [], set()
-        for w in unknown:
-            if w[-1] in ".," and _plain(w[:-1]):
+                kind = other
+            words = x.replace("\n", " ").split(" ")
+            split.append(words)
+            kind.append(words)
+        letters, marked, odd = set(), [], []
+        for w in set().union(*latin).difference(cache):
+            if w.isalpha():
+                letters.add(w)
+            elif w[-1] in ".," and w[:-1].isalpha():
                 marked.append(w)
                 if w[:-1] not in cache:
-                    plain.add(w[:-1])
+                    letters.add(w[:-1])
             else:
-                plain.add(w)
-        plain.update(m for m in ".," if marked and m not in cache)
-        if plain:
-            self._add(sorted(plain))
+                odd.append(w)
+        self._letters(sorted(letters))
+        self._one_by_one([*odd, *set().union(*other).difference(cache, odd), *(m for m in ".," if marked and m not in cache)])
         for w in marked:
             cache[w] = cache[w[:-1]] + cache[w[-1]]
         return [b"".join(map(cache.__getitem__, words)) for words in split]
@@ -290,12 +288,13 @@ class Plan:
         return tuple(np.ascontiguousarray(found[:, k]) for k in range(4))
 
 
-def pack(cut_pieces: DataFrame, *, capacity: int = CAPACITY, ranked_at_once: int = RANKED_AT_ONCE) -> DataFrame:
+def pack(cut_pieces: DataFrame, *, capacity: int = CAPACITY, ranked_at_once: int | None = None) -> DataFrame:
     """``cut_pieces`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     # At most ``capacity`` rows reach the driver.
     histogram = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = Plan(histogram, capacity)
+    ranked_at_once = ranked_at_once or min(RANKED_AT_ONCE[0], max(RANKED_AT_ONCE[1], sum(histogram.values()) // 1000))
     wide = {n: -(-c // ranked_at_once) for n, c in histogram.items() if c > ranked_at_once}
     spread = F.lit(1)
     if wide:
@@ -305,12 +304,12 @@ def pack(cut_pieces: DataFrame, *, capacity: int = CAPACITY, ranked_at_once: int
         "rank", F.row_number().over(Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "ids_crc32")) - 1
     )
     if wide:
-        # One row for each slice: capacity + pieces / ranked_at_once rows at most.
+        # One row for each slice: capacity + pieces / ranked_at_once rows at most, a few MB.
         sizes = sliced.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n"))
         before = sizes.withColumn(
             "before", F.sum("n").over(Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
         ).select("length", "slice", F.coalesce("before", F.lit(0)).alias("before"))
-        ranked = ranked.join(before, ["length", "slice"]).withColumn("rank", F.col("rank") + F.col("before"))
+        ranked = ranked.join(F.broadcast(before), ["length", "slice"], "left").withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
     length, rank, sequence, offset = plan.places()
     first = np.searchsorted(length, np.arange(capacity + 2))
 
