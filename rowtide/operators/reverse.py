@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import Refused
-from ..functions.values import equal_cells, literal, qualified, quote_identifier, unrenderable
+from ..functions.values import equal_cells, let, literal, qualified, quote_identifier, unrenderable
 from ..model import DELETE, INSERT, SCHEMA_CHANGE, UPDATE
 
 
@@ -20,45 +20,41 @@ def _table() -> Column:
 
 
 
-def _zipped(image: str, texts: str) -> Column:
-    """(c, v, s): column, cell and literal of an image."""
-    return F.zip_with(
-        F.zip_with("columns", image, lambda c, v: F.struct(c.alias("c"), v.alias("v"))),
-        texts,
-        lambda p, s: F.struct(p["c"].alias("c"), p["v"].alias("v"), s.alias("s")),
-    )
+def _zipped(image: str) -> Column:
+    """(c, v, s): column, cell and literal of each value of an image."""
+    return F.zip_with("columns", image, lambda c, v: F.struct(c.alias("c"), v.alias("v"), literal(v).alias("s")))
 
 
-def _located() -> Column:
+def _located(after: Column) -> Column:
     """What finds a row: its key columns, or every column where there is no key."""
     keyed = F.exists("columns", lambda c: c["primary_key"])
-    return F.filter(F.col("__after"), lambda p: p["c"]["primary_key"] | ~keyed)
+    return F.filter(after, lambda p: p["c"]["primary_key"] | ~keyed)
 
 
-def where_clause() -> Column:
+def where_clause(located: Column) -> Column:
     """The locating columns by value; NULL by IS NULL."""
     test = lambda p: F.concat(quote_identifier(p["c"]["name"]), F.when(p["v"].isNull(), F.lit(" IS NULL")).otherwise(F.concat(F.lit(" = "), p["s"])))
-    return F.array_join(F.transform("__located", test), " AND ")
+    return F.array_join(F.transform(located, test), " AND ")
 
 
-def changed_columns() -> Column:
-    """(c, s) of the columns that an update changed: column and literal before."""
-    both = F.zip_with("__before", "after", lambda p, a: F.struct(p["c"].alias("c"), p["v"].alias("v"), p["s"].alias("s"), equal_cells(p["v"], a).alias("same")))
-    return F.transform(F.filter(both, lambda p: ~p["same"]), lambda p: F.struct(p["c"].alias("c"), p["v"].alias("v"), p["s"].alias("s")))
+def changed_columns(before: Column) -> Column:
+    """Those of the ``before`` triples whose cell the update changed."""
+    kept = F.zip_with(before, "after", lambda p, a: F.when(~equal_cells(p["v"], a), p))
+    return F.filter(kept, lambda p: p.isNotNull())
 
 
-def undo_insert() -> Column:
-    return F.concat(F.lit("DELETE FROM "), _table(), F.lit(" WHERE "), where_clause(), F.lit(" LIMIT 1;"))
+def undo_insert(x: Column) -> Column:
+    return F.concat(F.lit("DELETE FROM "), _table(), F.lit(" WHERE "), where_clause(x["located"]), F.lit(" LIMIT 1;"))
 
 
-def undo_update() -> Column:
-    assign = F.transform("__writable", lambda p: F.concat(quote_identifier(p["c"]["name"]), F.lit(" = "), p["s"]))
-    return F.concat(F.lit("UPDATE "), _table(), F.lit(" SET "), F.array_join(assign, ", "), F.lit(" WHERE "), where_clause(), F.lit(" LIMIT 1;"))
+def undo_update(x: Column) -> Column:
+    assign = F.transform(x["writable"], lambda p: F.concat(quote_identifier(p["c"]["name"]), F.lit(" = "), p["s"]))
+    return F.concat(F.lit("UPDATE "), _table(), F.lit(" SET "), F.array_join(assign, ", "), F.lit(" WHERE "), where_clause(x["located"]), F.lit(" LIMIT 1;"))
 
 
-def undo_delete() -> Column:
-    names = F.array_join(F.transform("__writable", lambda p: quote_identifier(p["c"]["name"])), ", ")
-    values = F.array_join(F.transform("__writable", lambda p: p["s"]), ", ")
+def undo_delete(x: Column) -> Column:
+    names = F.array_join(F.transform(x["writable"], lambda p: quote_identifier(p["c"]["name"])), ", ")
+    values = F.array_join(F.transform(x["writable"], lambda p: p["s"]), ", ")
     return F.concat(F.lit("INSERT INTO "), _table(), F.lit(" ("), names, F.lit(") VALUES ("), values, F.lit(");"))
 
 
@@ -68,27 +64,27 @@ def _image_refusal(image: str) -> Column:
     return F.when(size != F.size("columns"), said)
 
 
-def _value_refusal(parts: str) -> Column:
-    bad = F.filter(parts, lambda p: p["s"].isNull())
+def _value_refusal(triples: Column) -> Column:
+    bad = F.filter(triples, lambda p: p["s"].isNull())
     return F.get(F.transform(bad, lambda p: F.coalesce(unrenderable(p["v"]), F.lit("a value cannot be rendered"))), F.lit(0))
 
 
-def refusal() -> Column:
+def refusal(x: Column) -> Column:
     """Why a row change cannot be undone; null if it can, and for schema changes."""
     op = F.col("op")
-    insert = F.coalesce(_image_refusal("after"), _value_refusal("__located"))
+    insert = F.coalesce(_image_refusal("after"), _value_refusal(x["located"]))
     update = F.coalesce(
         _image_refusal("before"),
         _image_refusal("after"),
-        F.when(F.size("__changed") == 0, F.concat(F.lit("update changed no columns on "), _table(), F.lit(", nothing to revert"))),
-        F.when(F.size("__writable") == 0, F.concat(F.lit("every column the update changed on "), _table(), F.lit(" is read-only, nothing to restore"))),
-        _value_refusal("__writable"),
-        _value_refusal("__located"),
+        F.when(F.size(x["changed"]) == 0, F.concat(F.lit("update changed no columns on "), _table(), F.lit(", nothing to revert"))),
+        F.when(F.size(x["writable"]) == 0, F.concat(F.lit("every column the update changed on "), _table(), F.lit(" is read-only, nothing to restore"))),
+        _value_refusal(x["writable"]),
+        _value_refusal(x["located"]),
     )
     delete = F.coalesce(
         _image_refusal("before"),
-        F.when(F.size("__writable") == 0, F.concat(F.lit("every column of "), _table(), F.lit(" is read-only, nothing to insert"))),
-        _value_refusal("__writable"),
+        F.when(F.size(x["writable"]) == 0, F.concat(F.lit("every column of "), _table(), F.lit(" is read-only, nothing to insert"))),
+        _value_refusal(x["writable"]),
     )
     return (
         F.when(op == SCHEMA_CHANGE, F.lit(None).cast("string"))
@@ -100,18 +96,33 @@ def refusal() -> Column:
     )
 
 
-def with_statements(changes: DataFrame) -> DataFrame:
-    """Every change with ``refusal`` and ``statement``; schema changes have neither.
+def outcome() -> Column:
+    """Struct of refusal and statement.
 
-    Literals are rendered once for each cell; everything after names them.
+    Each literal is rendered once and every part bound once (``let``): a filter on the
+    result may be pushed below its projection, and would copy whatever is not bound.
     """
     op = F.col("op")
-    made = F.when(op == INSERT, undo_insert()).when(op == UPDATE, undo_update()).when(op == DELETE, undo_delete())
-    rendered = changes.withColumns({"__before_s": F.transform("before", literal), "__after_s": F.transform("after", literal)})
-    paired = rendered.withColumns({"__before": _zipped("before", "__before_s"), "__after": _zipped("after", "__after_s")})
-    located = paired.withColumns({"__located": _located(), "__changed": F.when(op == UPDATE, changed_columns()).otherwise(F.col("__before"))})
-    ready = located.withColumn("__writable", F.filter("__changed", lambda p: ~p["c"]["read_only"]))
-    return ready.withColumn("refusal", refusal()).withColumn("statement", F.when(F.col("refusal").isNull(), made)).select(*changes.columns, "refusal", "statement")
+
+    def parts(image: Column) -> Column:
+        changed = F.when(op == UPDATE, changed_columns(image["before"])).otherwise(image["before"])
+        return F.struct(_located(image["after"]).alias("located"), changed.alias("changed"))
+
+    def settled(p: Column) -> Column:
+        return F.struct(p["located"].alias("located"), p["changed"].alias("changed"), F.filter(p["changed"], lambda t: ~t["c"]["read_only"]).alias("writable"))
+
+    def result(x: Column) -> Column:
+        made = F.when(op == INSERT, undo_insert(x)).when(op == UPDATE, undo_update(x)).when(op == DELETE, undo_delete(x))
+        return let(refusal(x), lambda why: F.struct(why.alias("refusal"), F.when(why.isNull(), made).alias("statement")))
+
+    images = F.struct(_zipped("before").alias("before"), _zipped("after").alias("after"))
+    return let(images, lambda i: let(parts(i), lambda p: let(settled(p), result)))
+
+
+def with_statements(changes: DataFrame) -> DataFrame:
+    """Every change with ``refusal`` and ``statement``; schema changes have neither."""
+    made = changes.withColumn("__outcome", outcome())
+    return made.select(*changes.columns, F.col("__outcome.refusal").alias("refusal"), F.col("__outcome.statement").alias("statement"))
 
 
 def plan(changes: DataFrame, *order: str) -> DataFrame:
