@@ -36,8 +36,10 @@ from .common import cut, ship
 from .components import connected_components
 
 SAMPLE = 16_384
-MAX_LISTS = 512
-CODEWORDS = 16
+#: Coarse lists: one for so many vectors, within bounds.
+ROWS_PER_LIST = 2_048
+MIN_LISTS, MAX_LISTS = 4, 512
+CODEWORDS = 64
 SUBSPACES = 8
 #: Rows of one block; a task compares two blocks.
 BLOCK = 1024
@@ -74,9 +76,9 @@ def _centres(x: np.ndarray, k: int, rounds: int = 8, seed: int = 17) -> np.ndarr
     return centres
 
 
-def fit_index(x: np.ndarray, max_lists: int = MAX_LISTS, subspaces: int = SUBSPACES, codewords: int = CODEWORDS) -> Index:
+def fit_index(x: np.ndarray, lists: int = MIN_LISTS, subspaces: int = SUBSPACES, codewords: int = CODEWORDS) -> Index:
     """Fit on unit vectors (rows of ``x``)."""
-    centroids = _centres(x, int(np.clip(len(x) // 32, 1, max_lists)))
+    centroids = _centres(x, int(np.clip(lists, 1, max(1, len(x) // 16))))
     residual = x - centroids[_nearest(x, centroids)]
     edges = np.linspace(0, x.shape[1], min(subspaces, x.shape[1]) + 1).astype(int).tolist()
     return Index(centroids, [_centres(residual[:, a:b], codewords) for a, b in zip(edges, edges[1:], strict=False)], edges)
@@ -168,7 +170,7 @@ def near_vectors(
     *,
     cosine: float = 0.98,
     sample: int = SAMPLE,
-    max_lists: int = MAX_LISTS,
+    rows_per_list: int = ROWS_PER_LIST,
     block: int = BLOCK,
 ) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept."""
@@ -194,7 +196,8 @@ def near_vectors(
     by_size: dict[int, list] = {}
     for v in taken:
         by_size.setdefault(len(v), []).append(v)
-    fitted = {d: fit_index(_units(v), max_lists) for d, v in by_size.items()}
+    lists = int(np.clip(n // rows_per_list, MIN_LISTS, MAX_LISTS))
+    fitted = {d: fit_index(_units(v), lists) for d, v in by_size.items()}
 
     def index_for(size: int) -> Index:
         # A length that the sample missed has one list, and codes that say nothing.
