@@ -22,7 +22,7 @@ from .plans.script import script_lines, write_lines
 from .plans.status import as_dict, as_text
 from .plans.store import ChangeStore
 from .sources.decoded_log import read_changes
-from .streaming.collector import Collector, read_stream
+from .streaming.collector import Collector, keep_running, read_stream
 
 VERSION = "0.1.0"
 
@@ -93,9 +93,8 @@ def watch(a: argparse.Namespace, spark: SparkSession, now: datetime) -> int:
         store.open_coverage(now)
         collector = Collector(store, f=filter_from({"tables": a.tables}), read_only=split_list(a.generated))
         trigger = {"availableNow": True} if a.once else {"processingTime": "5 seconds"}
-        query = collector.start(read_stream(spark, a.log), os.path.join(a.store, "stream"), **trigger)
-        while not query.awaitTermination(60):
-            store.prune(datetime.now(UTC))
+        start = lambda: collector.start(read_stream(spark, a.log), os.path.join(a.store, "stream"), **trigger)
+        keep_running(start, between=lambda: store.prune(datetime.now(UTC)))
     return 0
 
 

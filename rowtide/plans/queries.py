@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -13,14 +15,15 @@ from ..functions.predicates import Filter, is_ddl, matches, safe_to_quote, valid
 from ..functions.values import comment_safe, float_text, literal
 from ..model import SCHEMA_CHANGE, bytes_cell, op_name, time_cell
 from ..operators.assemble import assemble
-from ..operators.normalise import explode_images, mark_generated, mark_read_only, op_of, refusal_of_event, split_schema_changes, with_positions
+from ..operators.normalise import explode_images, file_changes, mark_generated, mark_read_only, op_of, refusal_of_event, split_schema_changes, with_positions
 from ..operators.reverse import plan, with_statements
 from ..operators.timeline import detail, timeline
 from ..sources.fixture import FLAT_SQL, changes, flat_changes, lift
 from ..sources.server import REQUIRED, failing_settings
-from .coverage import containing, earliest, is_stale, overlapping
+from ..streaming.collector import Collector, read_stream
+from .coverage import RETENTION, containing, earliest, is_stale, overlapping
 from .script import block, schema_change_lines, script_lines
-from .store import undelivered
+from .store import ChangeStore, undelivered
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -410,6 +413,60 @@ def script_text(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in lines], "line string")
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowtide-store-")
+    return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+def recorded(spark: SparkSession, sf_dir: str) -> ChangeStore:
+    """A store that got the log in two deliveries which overlap."""
+    store = ChangeStore(spark, _scratch(spark))
+    rows = changes(spark, sf_dir).withColumn("ord", F.col("change_id"))
+    store.append(rows.where("txn_id % 10 < 6"), order=["ord"], batch=("fixture", 0))
+    store.append(rows.where("txn_id % 10 > 3"), order=["ord"], batch=("fixture", 1))
+    return store
+
+
+_STORED = """, s AS (SELECT *, row_number() OVER (ORDER BY txn_id % 10 > 5, txn_id, change_id) AS stored_id FROM c)"""
+
+
+@query(_STORED + " SELECT stored_id AS change_id, 'fixture:' || txn_id AS source_txn_id, table_name, CAST(op AS INT) AS op, log_pos FROM s")
+def store_scan(spark, sf_dir):
+    found = recorded(spark, sf_dir).snapshot().changes()
+    return found.select("change_id", "source_txn_id", "table_name", F.col("op").cast("int").alias("op"), "log_pos")
+
+
+@query(_STORED + " SELECT stored_id AS change_id, log_pos FROM s WHERE table_name = 'wallets' AND stored_id < 400 ORDER BY stored_id DESC LIMIT 25")
+def store_page(spark, sf_dir):
+    snapshot = recorded(spark, sf_dir).snapshot()
+    return snapshot.page(Filter(("wallets",)), 400, 25, snapshot.coverage.end).select("change_id", "log_pos")
+
+
+@query(", m AS (SELECT txn_id, max(ev_at) AS last_at FROM c GROUP BY txn_id) SELECT 'fixture:' || txn_id AS source_txn_id, log_pos FROM c JOIN m USING (txn_id) WHERE last_at >= (SELECT max(ev_at) FROM c) - INTERVAL 7 DAY")
+def store_prune(spark, sf_dir):
+    store = recorded(spark, sf_dir)
+    store.set_retention(RETENTION)
+    store.prune(store.snapshot().coverage.end)
+    return store.snapshot().changes().select("source_txn_id", "log_pos")
+
+
+@query("SELECT change_id, CAST(op AS INT) AS op, log_pos FROM c WHERE table_name = 'accounts'")
+def file_scan(spark, sf_dir):
+    found = file_changes(decoded_events(spark, sf_dir), Filter(("accounts",)))
+    return found.select(F.floor(F.col("event_ord") / 10).cast("long").alias("change_id"), F.col("op").cast("int").alias("op"), "log_pos")
+
+
+@query(f", {_TXN} SELECT {_SOURCE} AS source_txn_id, log_pos FROM c JOIN t USING (txn_id, log_file) WHERE txn_id % 17 <> 0")
+def stream_collect(spark, sf_dir):
+    """The log as JSON lines files, collected by a streaming query into a store."""
+    base = _scratch(spark)
+    decoded_events(spark, sf_dir).withColumn("sub_ord", F.lit(0)).repartitionByRange(2, "event_ord").write.json(f"{base}/log")
+    collector = Collector(ChangeStore(spark, f"{base}/store"))
+    collector.start(read_stream(spark, f"{base}/log"), f"{base}/stream").awaitTermination()
+    return collector.store.snapshot().changes().select("source_txn_id", "log_pos")
+
+
 @query(r"""SELECT doc_id, CASE WHEN regexp_matches(replace(text, ' ', ''), '[\p{C}\p{Z}]') THEN '<unprintable, ' || strlen(text) || CASE strlen(text) WHEN 1 THEN ' byte>' ELSE ' bytes>' END
   WHEN strlen(text) <= 200 THEN text ELSE left(text, list_max(list_filter(range(0, 201), lambda k: strlen(left(text, k)) <= 200))) || '… <truncated, ' || strlen(text) || ' bytes total>' END AS shown FROM documents""", flat=False)
 def comment_safe_text(spark, sf_dir):

@@ -61,19 +61,29 @@ class LogLines(DataSource):
         return "log_file string, line long, event string"
 
     def simpleStreamReader(self, schema) -> LogLinesReader:
-        return LogLinesReader(self.options["path"], int(self.options.get("maxLines", 10_000)))
+        return LogLinesReader(self.options["path"], int(self.options.get("maxLines", 10_000)), self.options.get("start", "earliest"))
 
 
 class LogLinesReader(SimpleDataSourceStreamReader):
-    def __init__(self, folder: str, most: int):
-        self.folder, self.most = folder, most
+    """Without a checkpoint it starts at the first line, or with start=latest at the end:
+    a source that was never followed is followed from now on."""
+
+    def __init__(self, folder: str, most: int, start: str = "earliest"):
+        self.folder, self.most, self.start = folder, most, start
 
     def initialOffset(self) -> dict:
-        return {"file": "", "line": 0}
+        place = {"file": "", "line": 0}
+        if self.start == "latest":
+            for name, line, _ in self._after(place):
+                place = {"file": name, "line": line + 1}
+        return place
 
     def _after(self, start: dict) -> Iterator[tuple[str, int, str]]:
-        for name in sorted(os.listdir(self.folder)):
-            if not name.endswith(".jsonl") or name < start["file"]:
+        names = sorted(n for n in os.listdir(self.folder) if n.endswith(".jsonl"))
+        if start["file"] and start["file"] not in names:
+            raise Refused(f"{start['file']}, the position to resume from, is gone; record a gap and start anew")
+        for name in names:
+            if name < start["file"]:
                 continue
             with open(os.path.join(self.folder, name), encoding="utf-8") as f:
                 for i, line in enumerate(f):
