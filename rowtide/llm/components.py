@@ -3,8 +3,9 @@
 Rounds alternate two rewritings of the edge list: every node hands its larger
 neighbours, then its smaller ones, to the smallest node it knows.  Stars are the
 fixed point.  A round is two grouped minima (combined before the shuffle) and two
-equi-joins whose hot partitions Spark splits, so a hub with millions of neighbours
-needs no single task; lineage is cut into the shared folder each round.
+equi-joins.  The minima are written to the shared folder before they are joined: then
+both sides of a join are plain exchanges, whose hot partitions Spark splits, and a hub
+with millions of neighbours needs no single task.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from .common import cut
 
 def _to_larger(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
     return both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
 
 
 def _to_smaller(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
+    edges = cut(edges)
+    least = cut(edges.groupBy("b").agg(F.min("a").alias("m")))
     seen = edges.join(least, "b")
     moved = seen.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     own = least.select(F.col("m").alias("a"), "b")

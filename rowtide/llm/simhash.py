@@ -155,14 +155,15 @@ def near_groups(
     segments: int = 8,
     bucket: int = 256,
 ) -> DataFrame:
-    """One row per input row: doc_id, fp, text_hash, fingerprint (hex), component_id, kept."""
+    """One row per input row: doc_id, fp, text_hash, fingerprint (hex), group (a
+    fingerprint that names the component), component_id, kept."""
     prints = cut(fingerprints(docs, id_col, text_col, words))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
     links = fingerprint_links(nodes.select("fp"), distance=distance, segments=segments, bucket=bucket)
     classes = connected_components(links).select(F.col("node").alias("fp"), "component")
     placed = nodes.join(classes, "fp", "left").select("fp", "node", F.coalesce("component", "fp").alias("component"))
     least = placed.groupBy("component").agg(F.min("node").alias("component_id"))
-    named = placed.join(least, "component").select("fp", "component_id")
+    named = placed.join(least, "component").select("fp", F.col("component").alias("group"), "component_id")
     return (
         prints.join(named, "fp")
         .select(
@@ -170,6 +171,7 @@ def near_groups(
             "fp",
             "text_hash",
             F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+            "group",
             "component_id",
             F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
         )
@@ -178,9 +180,14 @@ def near_groups(
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group, all columns as they are."""
-    groups = cut(near_groups(docs, id_col, text_col, **options).select("doc_id", "text_hash", "kept"))
+    groups = cut(near_groups(docs, id_col, text_col, **options).select("doc_id", "text_hash", "group", "kept"))
+    kept = groups.where("kept")
+    # Rows that repeat the kept id inside a group: the text of least hash stays.
+    first = kept.groupBy("doc_id", "group").agg(F.min("text_hash").alias("first")).withColumnsRenamed({"doc_id": "__of", "group": "__group"})
+    others = kept.join(first, F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("group") == F.col("__group"))).where("text_hash <> first")
+    lost = groups.where("not kept").select("doc_id", "text_hash").unionByName(others.select("doc_id", "text_hash")).distinct()
+    lost = lost.select(F.col("doc_id").alias("__lost"), F.col("text_hash").alias("__of"))
     rows = docs.withColumn("__id", F.col(id_col)).withColumn("__hash", F.xxhash64(text_or_empty(text_col)))
-    lost = groups.where("not kept").select(F.col("doc_id").alias("__lost"), F.col("text_hash").alias("__of")).distinct()
-    kept = rows.join(lost, F.col("__id").eqNullSafe(F.col("__lost")) & (F.col("__hash") == F.col("__of")), "left_anti")
-    repeated = groups.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
-    return one_row_each(kept, ["__id"], repeated).drop("__id", "__hash")
+    left = rows.join(lost, F.col("__id").eqNullSafe(F.col("__lost")) & (F.col("__hash") == F.col("__of")), "left_anti")
+    repeated = kept.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    return one_row_each(left, ["__id", "__hash"], repeated).drop("__id", "__hash")
