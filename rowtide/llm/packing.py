@@ -34,7 +34,7 @@ from .token_count import tokenizer
 CAPACITY = 2048
 #: Pieces of one length that are ranked in one task: a thousandth of all, but at most
 #: the first number and not less than the second.
-RANKED_AT_ONCE = (1_000_000, 1_000)
+RANKED_AT_ONCE = (1_000_000, 250)
 #: Words whose ids are cached in a worker; the cache then starts afresh.
 CACHE_WORDS = 800_000
 
