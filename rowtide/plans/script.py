@@ -16,6 +16,7 @@ from ..functions.values import comment_safe
 from ..model import SCHEMA_CHANGE, op_name
 from ..operators.reverse import plan
 
+# The lines that make a script.
 TITLE = "-- rowtide revert script"
 NOTHING = "-- no matching changes found"
 REVIEW = "-- REVIEW BEFORE RUNNING — nothing here has been executed."
