@@ -182,10 +182,10 @@ def filter_schema_change_bypass(spark, sf_dir):
     return found.select("change_id", (F.col("op") == SCHEMA_CHANGE).alias("schema_change"))
 
 
-@query("SELECT count(*) FILTER (change_id % 997 <> 0) AS row_changes, count(*) FILTER (change_id % 997 = 0) AS schema_changes FROM c")
+@query("SELECT CASE WHEN change_id % 997 = 0 THEN 'schema' ELSE 'row' END AS kind, count(*) AS n FROM c GROUP BY 1")
 def split_changes(spark, sf_dir):
     rows, ddl = split_schema_changes(_with_ddl(spark, sf_dir))
-    return rows.agg(F.count(F.lit(1)).alias("row_changes")).join(ddl.agg(F.count(F.lit(1)).alias("schema_changes")))
+    return rows.select(F.lit("row").alias("kind")).unionByName(ddl.select(F.lit("schema").alias("kind"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 _STATEMENTS = ("ALTER TABLE x ADD y INT", "  create index i ON x (y)", "BEGIN", "", "dropx", "TRUNCATE t", "UPDATE t SET a = 1")
@@ -332,10 +332,9 @@ def dedup_redelivery(spark, sf_dir):
 
 @query("SELECT strftime(min(ev_at), '%Y-%m-%d %H:%M:%S') AS covered_from, strftime(greatest(TIMESTAMP '2024-01-02 00:00:00', max(ev_at)), '%Y-%m-%d %H:%M:%S') AS covered_to FROM c")
 def coverage_bounds(spark, sf_dir):
-    rows = changes(spark, sf_dir)
     high = F.greatest(F.lit(datetime(2024, 1, 2, tzinfo=UTC)), F.max("committed_at"))
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    return earliest(rows).select(text(F.col("coverage_from")).alias("covered_from")).join(rows.agg(text(high).alias("covered_to")))
+    return changes(spark, sf_dir).agg(text(earliest()).alias("covered_from"), text(high).alias("covered_to"))
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
