@@ -36,7 +36,11 @@ CAPACITY = 2048
 #: the first number and not less than the second.
 RANKED_AT_ONCE = (1_000_000, 250)
 #: Words whose ids are cached in a worker; the cache then starts afresh.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_200_000
+
+
+#: Marks that stand behind a word and are a match of their own in the library's pattern.
+_MARKS = ".,;:!?%$#&*|+=~^@)]}>"
 
 
 class WordIds:
@@ -60,7 +64,7 @@ class WordIds:
         """Words of letters that the normaliser maps one by one: a token run each."""
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(part) and stops[-1] == len(ids):
                 coded, a = ids.tobytes(), 0
@@ -91,20 +95,20 @@ class WordIds:
             words = x.replace("\n", " ").split(" ")
             split.append(words)
             kind.append(words)
-        letters, marked, odd = set(), [], []
+        letters, marked, odd = set(), [], set()
         for w in set().union(*latin).difference(cache):
-            if w.isalpha():
-                letters.add(w)
-            elif w[-1] in ".," and w[:-1].isalpha():
-                marked.append(w)
-                if w[:-1] not in cache:
-                    letters.add(w[:-1])
+            bare = w.rstrip(_MARKS)
+            if bare.isalpha():
+                if len(bare) < len(w):
+                    marked.append((w, bare, w[len(bare) :]))
+                    odd.add(w[len(bare) :])
+                letters.add(bare)
             else:
-                odd.append(w)
-        self._letters(sorted(letters))
-        self._one_by_one([*odd, *set().union(*other).difference(cache, odd), *(m for m in ".," if marked and m not in cache)])
-        for w in marked:
-            cache[w] = cache[w[:-1]] + cache[w[-1]]
+                odd.add(w)
+        self._letters([w for w in letters if w not in cache])
+        self._one_by_one(list(odd.union(*other).difference(cache)))
+        for w, bare, marks in marked:
+            cache[w] = cache[bare] + cache[marks]
         return [b"".join(map(cache.__getitem__, words)) for words in split]
 
 
