@@ -101,15 +101,28 @@ def _chain_holds(differ: Column, start: Column, segments: int, distance: int) ->
     return holds
 
 
+def _equal(segments: int, distance: int) -> int:
+    """Longest chain whose budget is below one bit."""
+    return max(n for n in range(1, segments + 1) if n * distance // segments == 0)
+
+
 def fingerprint_links(
-    prints: DataFrame, *, distance: int = 2, segments: int = 8, bucket: int = 256
+    prints: DataFrame, *, distance: int = 2, segments: int | None = None, bucket: int = 256
 ) -> DataFrame:
     """(a, b) links between distinct ``fp`` values: every pair within ``distance``
-    outside hot buckets, a spanning set of pairs within ``distance`` in hot ones."""
+    outside hot buckets, a spanning set of pairs within ``distance`` in hot ones.
+
+    More segments make longer keys and more copies of each row.  Unless given, their
+    number is the least that leaves about ``bucket`` / 16 fingerprints to a key; the links
+    are the same for any number.
+    """
+    if segments is None:
+        n = prints.count()
+        segments = next((m for m in (8, 16) if n >> (64 // m * _equal(m, distance)) <= bucket // 16), 32)
     if 64 % segments or segments <= distance:
         raise ValueError("segments must divide 64 and be more than the distance")
     width = 64 // segments
-    exact = max(n for n in range(1, segments + 1) if n * distance // segments == 0)
+    exact = _equal(segments, distance)
     if exact * width >= 64:
         raise ValueError("a distance of zero needs no links")
     starts = F.explode(F.array(*[F.lit(s) for s in range(segments)])).alias("start")
@@ -152,7 +165,7 @@ def near_groups(
     *,
     words: int = 3,
     distance: int = 2,
-    segments: int = 8,
+    segments: int | None = None,
     bucket: int = 256,
 ) -> DataFrame:
     """One row per input row: doc_id, fp, text_hash, fingerprint (hex), group (a
