@@ -22,7 +22,7 @@ from ..sources.fixture import FLAT_SQL, changes, flat_changes, lift
 from ..sources.server import REQUIRED, failing_settings
 from ..streaming.collector import Collector, read_stream
 from .coverage import RETENTION, containing, earliest, is_stale, overlapping
-from .script import block, schema_change_lines, script_lines
+from .script import block, schema_change_lines, script_frame
 from .store import ChangeStore, undelivered
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,9 +133,9 @@ def literal_time(spark, sf_dir):
     return events.select("event_id", literal(time_cell(F.col("ts").cast("timestamp"))).alias("literal"))
 
 
-@query("SELECT event_id, regexp_replace(CAST(round(value, 3) AS VARCHAR), '[.]0$', '') AS shown FROM events WHERE abs(value) < 1000000 AND (abs(value) >= 0.001 OR value = 0)", flat=False)
+@query("SELECT event_id, regexp_replace(CAST(round(value, 3) AS VARCHAR), '[.]0$', '') AS shown FROM events", flat=False)
 def literal_float(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("abs(value) < 1000000 and (abs(value) >= 0.001 or value = 0)")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return events.select("event_id", float_text(F.round("value", 3), "double").alias("shown"))
 
 
@@ -222,12 +222,6 @@ def operation_names(spark, sf_dir):
     return changes(spark, sf_dir).select("change_id", op_name(F.col("op")).alias("name"))
 
 
-@query("SELECT change_id, id, op FROM c WHERE change_id = (SELECT max(change_id) FROM c WHERE change_id <= 700)")
-def change_lookup(spark, sf_dir):
-    flat = flat_changes(spark, sf_dir)
-    return flat.where("change_id <= 700").orderBy(F.col("change_id").desc()).limit(1).select("change_id", "id", "op")
-
-
 @query("""SELECT change_id, 3::BIGINT AS n_columns, CASE WHEN op IN (2,3) THEN 3::BIGINT ELSE -1 END AS n_before, CASE WHEN op IN (1,2) THEN 3::BIGINT ELSE -1 END AS n_after FROM c""")
 def detail_images(spark, sf_dir):
     n = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).otherwise(-1).cast("long")
@@ -377,10 +371,10 @@ def integrity_rowless(spark, sf_dir):
     return txns.join(changes(spark, sf_dir).where("op <> 2").select("txn_id"), "txn_id", "left_anti")
 
 
-@query("SELECT TIMESTAMP '2024-01-15 00:00:00' > coalesce(max(ev_at), TIMESTAMP '2024-01-15 00:00:00') AS ahead FROM c WHERE change_id < 300")
+@query("SELECT table_name, TIMESTAMP '2024-01-30 23:50:00' > coalesce(max(ev_at), TIMESTAMP '2024-01-30 23:50:00') AS ahead FROM c GROUP BY table_name")
 def checkpoint_ahead(spark, sf_dir):
-    at = F.lit(datetime(2024, 1, 15, tzinfo=UTC))
-    return changes(spark, sf_dir).where("change_id < 300").agg((at > F.coalesce(F.max("committed_at"), at)).alias("ahead"))
+    at = F.lit(datetime(2024, 1, 30, 23, 50, tzinfo=UTC))
+    return changes(spark, sf_dir).groupBy("table_name").agg((at > F.coalesce(F.max("committed_at"), at)).alias("ahead"))
 
 
 _BLOCK = f"""concat_ws(chr(10), '', '-- undo ' || CASE op WHEN 1 THEN 'INSERT' WHEN 2 THEN 'UPDATE' ELSE 'DELETE' END || ' shop.' || table_name || ' — ' || log_file || ':' || log_pos ||
@@ -404,12 +398,11 @@ def script_count(spark, sf_dir):
     return found.agg(F.count("statement").alias("statements")).withColumn("trailer", F.concat(F.lit("-- end of script: "), F.col("statements"), F.lit(" statements")))
 
 
-@query(f"""SELECT line FROM (SELECT unnest(string_split({_BLOCK}, chr(10))) AS line FROM c WHERE change_id < 200)
+@query(f"""SELECT line FROM (SELECT unnest(string_split({_BLOCK}, chr(10))) AS line FROM c)
 UNION ALL SELECT unnest(['-- rowtide revert script', '-- source: fixture', '-- newest change first', '-- REVIEW BEFORE RUNNING — nothing here has been executed.', '', 'SET time_zone = ''+00:00'';', 'SET NAMES utf8mb4;', ''])
-UNION ALL SELECT '-- end of script: ' || count(*) || ' statements' FROM c WHERE change_id < 200""")
+UNION ALL SELECT '-- end of script: ' || count(*) || ' statements' FROM c""")
 def script_text(spark, sf_dir):
-    lines = list(script_lines(changes(spark, sf_dir).where("change_id < 200"), "fixture"))
-    return spark.createDataFrame([(x,) for x in lines], "line string")
+    return script_frame(changes(spark, sf_dir), "fixture").select("line")
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -442,6 +435,12 @@ def store_page(spark, sf_dir):
     return snapshot.page(Filter(("wallets",)), 400, 25, snapshot.coverage.end).select("change_id", "log_pos")
 
 
+@query(_STORED + " SELECT stored_id AS change_id, txn_id, log_file, log_pos FROM s WHERE stored_id = 5")
+def change_lookup(spark, sf_dir):
+    found = recorded(spark, sf_dir).snapshot().change(5)
+    return found.select("change_id", F.split("source_txn_id", ":")[1].cast("long").alias("txn_id"), "log_file", "log_pos")
+
+
 @query(", m AS (SELECT txn_id, max(ev_at) AS last_at FROM c GROUP BY txn_id) SELECT 'fixture:' || txn_id AS source_txn_id, log_pos FROM c JOIN m USING (txn_id) WHERE last_at >= (SELECT max(ev_at) FROM c) - INTERVAL 7 DAY")
 def store_prune(spark, sf_dir):
     store = recorded(spark, sf_dir)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.moments import describe_window, plural, stamp_column
 from ..functions.predicates import Filter, Refused
 from ..functions.values import comment_safe
+from ..functions.values import plural as plural_column
 from ..model import SCHEMA_CHANGE, op_name
 from ..operators.reverse import plan
 
@@ -95,6 +96,23 @@ def script_lines(changes: DataFrame, source: str, f: Filter | None = None, *orde
     yield from trailer(count)
 
 
+def script_frame(changes: DataFrame, source: str, f: Filter | None = None, key: str = "change_id", *, moment: str = "committed_at") -> DataFrame:
+    """The script as rows (part, place, at, line), for scripts that no driver should hold.
+
+    Parts are header, statements and trailer; ``place`` is the change, newest first within
+    its part, and ``at`` the line within its block.  The count is one aggregated row.
+    """
+    f = f or Filter()
+    made = plan(changes, key).select(F.col(key).alias("place"), F.split(block(moment), "\n").alias("lines"))
+    ddl = [r["line"] for r in schema_change_lines(changes, key, moment=moment).toLocalIterator()]
+    head = changes.sparkSession.createDataFrame([(0, 0, i, x) for i, x in enumerate(header(source, f, ddl))], "part int, place long, at int, line string")
+    body = made.select(F.lit(1).alias("part"), "place", F.posexplode("lines").alias("at", "line"))
+    n = F.col("n")
+    closing = F.when(n == 0, F.array(F.lit(NOTHING))).otherwise(F.array(F.lit(""), F.concat(F.lit("-- end of script: "), plural_column(n, "statement"))))
+    tail = made.agg(F.count(F.lit(1)).alias("n")).select(F.lit(2).alias("part"), F.lit(0).cast("long").alias("place"), F.posexplode(closing).alias("at", "line"))
+    return head.unionByName(body).unionByName(tail)
+
+
 def render(changes: DataFrame, source: str, f: Filter | None = None, *order: str, moment: str = "committed_at") -> str:
     """A small script in one string, its count in the header as well."""
     f, order = f or Filter(), order or ("change_id",)

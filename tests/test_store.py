@@ -10,7 +10,7 @@ from rowtide.functions.predicates import BadRequest, Filter, Refused
 from rowtide.operators.timeline import one, page
 from rowtide.plans.claim import Claim
 from rowtide.plans.coverage import Binding, Coverage, Gap, Miss, check
-from rowtide.plans.script import script_lines, write_lines
+from rowtide.plans.script import render, script_frame, script_lines, write_blocks, write_lines
 from rowtide.plans.store import ChangeStore, page_limit
 from rowtide.sources.fixture import changes
 from rowtide.streaming.collector import Collector, read_stream
@@ -187,6 +187,9 @@ def test_scripts_are_whole_or_absent(store, tmp_path):
     with pytest.raises(Refused):
         write_lines(["x"], str(path))
 
+    frame = script_frame(s.changes(), "x\ny").orderBy("part", F.col("place").desc(), "at")
+    assert [r["line"] for r in frame.collect()] == lines
+
     def broken():
         yield "first"
         raise RuntimeError
@@ -194,6 +197,12 @@ def test_scripts_are_whole_or_absent(store, tmp_path):
     with pytest.raises(RuntimeError):
         write_lines(broken(), str(path), force=True)
     assert path.read_text().splitlines() == lines and list(tmp_path.glob(".*partial*")) == []
+    whole = render(s.changes(Filter(("wallets",))), "x", Filter(("wallets",))).splitlines()
+    n = s.changes(Filter(("wallets",))).count()
+    assert f"-- {n} statements, newest change first" in whole and whole[-1] == f"-- end of script: {n} statements"
+    write_blocks(s.changes(), str(tmp_path / "parts"))
+    assert (tmp_path / "parts" / "_SUCCESS").exists()
+    assert [r["line"] for r in script_frame(s.changes(Filter(("nothing",))), "x").where("part = 2").collect()] == ["-- no matching changes found"]
     empty = list(script_lines(s.changes(Filter(("nothing",))), "x"))
     assert empty[-1] == "-- no matching changes found"
 
