@@ -20,15 +20,20 @@ def _table() -> Column:
 
 
 
-def _zipped(image: str) -> Column:
-    """(c, v, s): column, cell and literal of each value of an image."""
-    return F.zip_with("columns", image, lambda c, v: F.struct(c.alias("c"), v.alias("v"), literal(v).alias("s")))
+def _pairs(image: str) -> Column:
+    """(c, v): column and cell of each value of an image."""
+    return F.zip_with("columns", image, lambda c, v: F.struct(c.alias("c"), v.alias("v")))
 
 
-def _located(after: Column) -> Column:
+def _rendered(pairs: Column) -> Column:
+    """(c, v, s): with the literal, which only the cells that a statement names need."""
+    return F.transform(pairs, lambda p: F.struct(p["c"].alias("c"), p["v"].alias("v"), literal(p["v"]).alias("s")))
+
+
+def _located() -> Column:
     """What finds a row: its key columns, or every column where there is no key."""
     keyed = F.exists("columns", lambda c: c["primary_key"])
-    return F.filter(after, lambda p: p["c"]["primary_key"] | ~keyed)
+    return F.filter(_pairs("after"), lambda p: p["c"]["primary_key"] | ~keyed)
 
 
 def where_clause(located: Column) -> Column:
@@ -37,9 +42,9 @@ def where_clause(located: Column) -> Column:
     return F.array_join(F.transform(located, test), " AND ")
 
 
-def changed_columns(before: Column) -> Column:
-    """Those of the ``before`` triples whose cell the update changed."""
-    kept = F.zip_with(before, "after", lambda p, a: F.when(~equal_cells(p["v"], a), p))
+def changed_columns() -> Column:
+    """(column, cell before) where the update changed the cell."""
+    kept = F.zip_with(_pairs("before"), "after", lambda p, a: F.when(~equal_cells(p["v"], a), p))
     return F.filter(kept, lambda p: p.isNotNull())
 
 
@@ -76,7 +81,7 @@ def refusal(x: Column) -> Column:
     update = F.coalesce(
         _image_refusal("before"),
         _image_refusal("after"),
-        F.when(F.size(x["changed"]) == 0, F.concat(F.lit("update changed no columns on "), _table(), F.lit(", nothing to revert"))),
+        F.when(x["n_changed"] == 0, F.concat(F.lit("update changed no columns on "), _table(), F.lit(", nothing to revert"))),
         F.when(F.size(x["writable"]) == 0, F.concat(F.lit("every column the update changed on "), _table(), F.lit(" is read-only, nothing to restore"))),
         _value_refusal(x["writable"]),
         _value_refusal(x["located"]),
@@ -99,24 +104,22 @@ def refusal(x: Column) -> Column:
 def outcome() -> Column:
     """Struct of refusal and statement.
 
-    Each literal is rendered once and every part bound once (``let``): a filter on the
-    result may be pushed below its projection, and would copy whatever is not bound.
+    Every part is bound once (``let``): a filter on the result may be pushed below its
+    projection, and would copy whatever is not bound.
     """
     op = F.col("op")
 
-    def parts(image: Column) -> Column:
-        changed = F.when(op == UPDATE, changed_columns(image["before"])).otherwise(image["before"])
-        return F.struct(_located(image["after"]).alias("located"), changed.alias("changed"))
-
-    def settled(p: Column) -> Column:
-        return F.struct(p["located"].alias("located"), p["changed"].alias("changed"), F.filter(p["changed"], lambda t: ~t["c"]["read_only"]).alias("writable"))
+    def settled(changed: Column) -> Column:
+        writable = _rendered(F.filter(changed, lambda p: ~p["c"]["read_only"]))
+        located = F.when(op != DELETE, _rendered(_located()))
+        return F.struct(F.size(changed).alias("n_changed"), writable.alias("writable"), located.alias("located"))
 
     def result(x: Column) -> Column:
         made = F.when(op == INSERT, undo_insert(x)).when(op == UPDATE, undo_update(x)).when(op == DELETE, undo_delete(x))
         return let(refusal(x), lambda why: F.struct(why.alias("refusal"), F.when(why.isNull(), made).alias("statement")))
 
-    images = F.struct(_zipped("before").alias("before"), _zipped("after").alias("after"))
-    return let(images, lambda i: let(parts(i), lambda p: let(settled(p), result)))
+    changed = F.when(op == UPDATE, changed_columns()).when(op == DELETE, _pairs("before"))
+    return let(changed, lambda c: let(settled(c), result))
 
 
 def with_statements(changes: DataFrame) -> DataFrame:
