@@ -11,8 +11,9 @@ give a raw score, and a monotone map fitted by leaving each example out turns it
 into a probability.  The neighbours are the evidence.
 
 Fitting uses at most ``max_examples`` labelled rows, those of least hash (a documented
-bound, so the model that is broadcast is bounded too); scoring reads every row and
-whole texts.
+bound, so the model that is broadcast is bounded too).  Of rows whose least shingle hash
+and label agree one is an example: a group of near copies would otherwise make its own
+words look like signs of its label.  Scoring reads every row and whole texts.
 
 Defined cases: a null or empty text, or one without a vocabulary term, gets the rate
 of toxic rows among fitting rows without such a term; ties between neighbours go to
@@ -34,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, keep_rows, map_arrow, text_or_empty, texts_of
+from .simhash import shingle_hashes
 
 MAX_EXAMPLES = 12_000
 MAX_TERMS = 4_096
@@ -45,6 +47,7 @@ LEAST_ROWS = 4
 NEIGHBOURS = 16
 STEMS = (4, 5, 6)
 BLOCK = 64
+_POSITIVE = (1 << 63) - 1
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -209,7 +212,13 @@ def fit(
         # At most max_examples rows of nine bytes.
         F.broadcast(chosen), "doc_id"
     )
-    sample = cut(sample)
+    def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
+        least = [int(h.min()) & _POSITIVE if len(h := shingle_hashes(x, 3)) else 0 for x in texts_of(batch.column(1))]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], ["doc_id", "text", "toxic", "signature"])
+
+    signed = map_arrow(sample.select("doc_id", "text", "toxic"), sign, "doc_id long, text string, toxic boolean, signature long")
+    sample = signed.groupBy("signature", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("row"))
+    sample = cut(sample.select("row.doc_id", "row.text", "toxic"))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, toxic = Counter(), Counter()
