@@ -286,12 +286,18 @@ class ChangeStore:
         at = self.snapshot()
         if batch and at.manifest["batches"].get(batch[0], -1) >= batch[1]:
             return at
-        for image in ("before", "after"):
-            bad = changes.where(F.exists(image, lambda c: unrenderable(c).isNotNull())).select("source_txn_id").first()
-            if bad:
-                raise Refused(f"a value in transaction {bad['source_txn_id']} cannot be stored")
         keyed = changes.withColumn("is_ddl", F.col("op") == SCHEMA_CHANGE)
-        fresh = undelivered(keyed, at.txns(), order)
+        fresh = undelivered(keyed, at.txns(), order).persist()
+        try:
+            return self._append(at, fresh, order, checkpoint, misses, reached, batch)
+        finally:
+            fresh.unpersist()
+
+    def _append(self, at: Snapshot, fresh: DataFrame, order: list[str], checkpoint, misses, reached, batch) -> Snapshot:
+        cannot = lambda image: F.coalesce(F.exists(image, lambda c: unrenderable(c).isNotNull()), F.lit(False))
+        bad = fresh.where(cannot("before") | cannot("after")).select("source_txn_id").first()
+        if bad:
+            raise Refused(f"a value in transaction {bad['source_txn_id']} cannot be stored")
         key = ["source_txn_id", "is_ddl"]
         heads = fresh.groupBy(*key).agg(
             F.min(F.struct(*order)).alias("__first"), F.max("committed_at").alias("committed_at"), F.max("server_id").alias("server_id")
