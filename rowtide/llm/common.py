@@ -58,6 +58,19 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores.
+
+    Only a plain scan of fewer partitions than cores is dealt anew, hence a small input;
+    a large one keeps its scan and shuffles nothing.  Plans with an exchange are left as
+    they are: counting their partitions would run them.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``step`` on each Arrow batch."""
     ship(df.sparkSession)
@@ -69,7 +82,7 @@ def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 if out is not None:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def keep_rows(df: DataFrame, mask: Callable[[pa.RecordBatch], list]) -> DataFrame:
@@ -83,7 +96,7 @@ def keep_rows(df: DataFrame, mask: Callable[[pa.RecordBatch], list]) -> DataFram
                 if kept.num_rows:
                     yield kept
 
-    return df.mapInArrow(run, df.schema)
+    return spread(df).mapInArrow(run, df.schema)
 
 
 def text_or_empty(name: str = "text") -> Column:
