@@ -177,9 +177,10 @@ def near_vectors(
     spark = vectors.sparkSession
     ship(spark)
     radius = float(np.sqrt(2 - 2 * cosine))
-    rows = vectors.select(
-        F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label")
-    )
+    # Vectors travel in the precision they came in; all arithmetic is in double.
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind, width = ("array<float>", "<f4") if single else ("array<double>", "<f8")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v"), F.col(label_col).alias("label"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     usable = (
         F.col("v").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("v") > 0)
@@ -205,7 +206,7 @@ def near_vectors(
             fitted[size] = Index(np.zeros((1, size)), [np.zeros((1, size))], [0, size])
         return fitted[size]
 
-    placed_schema = "label string, size int, list int, own int, rep long, weight long, x array<double>, code binary, error double"
+    placed_schema = "label string, size int, list int, own int, rep long, weight long, x binary, code binary, error float"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,14 +215,14 @@ def near_vectors(
             sizes = np.array([len(x) for x in v])
             for size in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == size)
-                x = _units([v[i] for i in at])
-                own, code, error, probes = assign(index_for(size), x, radius)
+                x = np.array([v[i] for i in at], width)
+                own, code, error, probes = assign(index_for(size), _units(x), radius)
                 for k, i in enumerate(at.tolist()):
                     for which in (int(own[k]), *probes[k].tolist()):
-                        out.append((str(label[i]), size, which, int(own[k]), rep[i], weight[i], x[k], code[k].tobytes(), float(error[k])))
+                        out.append((str(label[i]), size, which, int(own[k]), rep[i], weight[i], x[k].tobytes(), code[k].tobytes(), float(error[k])))
             if out:
                 columns = list(zip(*out, strict=True))
-                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.binary(), pa.float64()]
+                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float32()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["label", "size", "list", "own", "rep", "weight", "x", "code", "error"])
 
     placed = cut(reps.select("label", "v", "rep", "weight").mapInArrow(place, placed_schema))
@@ -242,10 +243,10 @@ def near_vectors(
 
         def side(part: pd.DataFrame) -> dict:
             return {
-                "x": np.stack(part["x"].to_numpy()) if len(part) else np.empty((0, size)),
+                "x": _units(np.stack([np.frombuffer(x, width) for x in part["x"]])) if len(part) else np.empty((0, size)),
                 "own": part["own"].to_numpy(),
                 "code": np.stack([np.frombuffer(c, np.uint8) for c in part["code"]]) if len(part) else np.empty((0, 1), np.uint8),
-                "error": part["error"].to_numpy(),
+                "error": part["error"].to_numpy().astype(np.float64),
             }
 
         left_rows, right_rows = pdf[pdf["b"] == p], pdf[pdf["b"] == q]
