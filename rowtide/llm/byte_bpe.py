@@ -33,7 +33,7 @@ from .common import map_arrow, texts_of
 #: Codepoints scanned at once, a longer text alone.
 SCAN_CHARS = 1 << 19
 #: Slices whose ids are cached in a worker; the cache then starts afresh.
-CACHE_SLICES = 250_000
+CACHE_SLICES = 800_000
 
 # Symbols of the scan.
 LETTER, NUMBER, BLANK, SPACE, OTHER, SHORT, LONG, START = range(8)
