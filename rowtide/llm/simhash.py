@@ -193,7 +193,12 @@ def near_groups(
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group, all columns as they are."""
-    groups = cut(near_groups(docs, id_col, text_col, **options).select("doc_id", "text_hash", "group", "kept"))
+    return drop_grouped(docs, near_groups(docs, id_col, text_col, **options), id_col, text_col)
+
+
+def drop_grouped(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one document of each of the ``groups`` (doc_id, text_hash, group, kept)."""
+    groups = cut(groups.select("doc_id", "text_hash", "group", "kept"))
     kept = groups.where("kept")
     # Rows that repeat the kept id inside a group: the text of least hash stays.
     first = kept.groupBy("doc_id", "group").agg(F.min("text_hash").alias("first")).withColumnsRenamed({"doc_id": "__of", "group": "__group"})
