@@ -49,12 +49,15 @@ class WordIds:
     The library's normaliser and pattern never join what a space or a line feed parts,
     so a text's ids are those of its space-separated words in order.  Words of letters
     only are handed to the library many at a time and told apart by the word-end mark.
+    Added tokens match the raw text only, so a text that holds one once lowered, but is
+    not lower-case itself, keeps its case.
     """
 
     def __init__(self, path: str, cache: int = CACHE_WORDS):
         self.library = tokenizer(path)
         self.size = cache
         self.cache: dict[str, bytes] = {"": b""}
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
@@ -88,8 +91,11 @@ class WordIds:
         for x in texts:
             try:
                 x.encode("latin-1")  # there, lowering commutes with the normaliser
-                x = x.lower()
-                kind = latin
+                low = x.lower()
+                if low != x and any(t in low for t in self.added):
+                    kind = other
+                else:
+                    x, kind = low, latin
             except UnicodeEncodeError:
                 kind = other
             words = x.replace("\n", " ").split(" ")

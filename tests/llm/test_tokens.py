@@ -88,6 +88,12 @@ def test_word_ids_are_the_librarys(text):
     assert got == WORD.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["A <|STARTOFTEXT|> b", "<|EndOfText|>", "<|EndOfText|> <|endoftext|> End.", "Ä<|EndOfText|>x É", "no <|ENDOFTEXT|>\nÏ <|startoftext|>s"])
+def test_special_tokens_keep_their_case(text):
+    got = np.frombuffer(packing.WordIds(WORDS).of([text, "plain <|endoftext|>", text.lower()])[0], "<u4").tolist()
+    assert got == WORD.encode(text, add_special_tokens=False).ids
+
+
 def test_plans_use_every_piece_once_and_fill_gaps():
     rng = random.Random(9)
     for n in (1, 5, 50, 3000):
