@@ -103,15 +103,64 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def one_row_each(kept: DataFrame, keys: list[str], repeated: DataFrame) -> DataFrame:
-    """One row for each of the ``keys`` listed in ``repeated``; other rows untouched.
+#: Words of 64 marks in a table of marks: at most so many rows are broadcast, some 40 MB.
+MARK_WORDS = 1 << 20
 
-    Only rows of repeated keys are shuffled whole.
+
+def _mark(h: Column) -> tuple[Column, Column]:
+    word = F.pmod(F.shiftrightunsigned(h, 6), F.lit(MARK_WORDS).cast("long"))
+    return word, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def marks(keys: DataFrame, *names: str) -> DataFrame:
+    """(word, bits): a bitmap of the hashes of ``keys``, of bounded size whatever their number."""
+    word, bit = _mark(F.xxhash64(*names))
+    return cut(keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")))
+
+
+def flagged(rows: DataFrame, found: DataFrame, h: Column, name: str) -> DataFrame:
+    """``rows`` with a flag that is true wherever hash ``h`` is that of a marked key (and,
+    rarely, elsewhere: what follows must not depend on it).  A null hash is never flagged."""
+    word, bit = _mark(h)
+    columns = rows.columns
+    rows = rows.withColumns({"word": word, "bit": bit})
+    hit = F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))
+    return rows.join(F.broadcast(found), "word", "left").select(*columns, hit.alias(name))
+
+
+def without(docs: DataFrame, lost: DataFrame, repeated: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
+    """``docs``, all columns as they are, without the rows listed in ``lost`` and with one
+    row for each entry of ``repeated`` (both: doc_id, n_bytes, digest of the text).
+
+    Rows travel as one struct, so no name can clash.  Only rows whose id and length are
+    marked are shuffled and digested; all others pass straight through.
     """
-    if not repeated.take(1):
-        return kept
-    again = repeated.select(*[F.col(k).alias(f"__{k}") for k in keys])
-    hit = F.lit(True)
-    for k in keys:
-        hit = hit & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return kept.join(again, hit, "left_anti").unionByName(kept.join(again, hit, "left_semi").dropDuplicates(keys))
+    text = text_or_empty(text_col)
+    found = marks(lost.unionByName(repeated), "doc_id", "n_bytes")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"), F.struct(*docs.columns).alias("row"))
+    rows = flagged(rows, found, F.xxhash64("doc_id", "n_bytes"), "listed")
+    clear = rows.where("not listed").select("row")
+    keys = ["doc_id", "n_bytes", "digest"]
+    doubtful = rows.where("listed").select("doc_id", "n_bytes", digest(F.col("text")).alias("digest"), "row")
+
+    def same(other: DataFrame) -> Column:
+        return doubtful["doc_id"].eqNullSafe(other["doc_id"]) & (doubtful["n_bytes"] == other["n_bytes"]) & (doubtful["digest"] == other["digest"])
+
+    doubtful = cut(doubtful.join(lost, same(lost), "left_anti"))
+    again = doubtful.join(repeated, same(repeated), "left_semi").dropDuplicates(keys)
+    kept = doubtful.join(repeated, same(repeated), "left_anti").unionByName(again).select("row")
+    return clear.unionByName(kept).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def drop_grouped(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one document of each of the ``groups`` (doc_id, n_bytes, text_hash,
+    group, kept)."""
+    names = ["doc_id", "n_bytes", "digest"]
+    groups = cut(groups.select("doc_id", "n_bytes", F.col("text_hash").alias("digest"), "group", "kept"))
+    kept = groups.where("kept")
+    # Rows that repeat the kept id inside a group: the text of least hash stays.
+    first = kept.groupBy(F.col("doc_id").alias("of"), F.col("group").alias("in")).agg(F.min("digest").alias("first"))
+    others = kept.join(first, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("group") == F.col("in"))).where("digest <> first")
+    lost = groups.where("not kept").select(*names).unionByName(others.select(*names)).distinct()
+    repeated = kept.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return without(docs, cut(lost), cut(repeated), id_col, text_col, lambda text: F.xxhash64(text))

@@ -22,36 +22,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, one_row_each, text_or_empty, texts_of
+from . import overlap
+from .common import cut, drop_grouped, map_arrow, text_or_empty, texts_of
 from .components import connected_components
+from .shingles import shingle_hashes
 
-SEED = 42
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Shingles whose bits are counted at a time.
 _SLICE = 1 << 14
 
 
-def shingle_hashes(text: str, words: int) -> np.ndarray:
-    """XXH64 of each run of ``words`` words, repeats included (fewer words: one run)."""
-    found = text.encode("utf-8").translate(_LOWER).split()
-    if not found:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(found)
-    if len(found) <= words:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    return np.array(
-        [digest(joined[a:b], SEED) for a, b in zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)],
-        np.uint64,
-    )
-
-
 def fingerprint(text: str, words: int = 3) -> int:
     """Signed 64-bit SimHash: a bit is set if it is set in over half the shingles."""
     hashes = shingle_hashes(text, words)
@@ -66,18 +48,18 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fp, text_hash): whole texts, one pass, nothing shuffled.
+    """(doc_id, fp, text_hash, n_bytes): whole texts, one pass, nothing shuffled.
 
-    ``text_hash`` tells rows apart that repeat an id over different texts.
+    ``text_hash`` and ``n_bytes`` tell rows apart that repeat an id over different texts.
     """
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints = [fingerprint(x, words) for x in texts_of(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), batch.column(2)], ["doc_id", "fp", "text_hash"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), batch.column(2), batch.column(3)], ["doc_id", "fp", "text_hash", "n_bytes"])
 
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    return map_arrow(rows, step, "doc_id long, fp long, text_hash long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), F.octet_length(text).cast("long").alias("n_bytes"))
+    return map_arrow(rows, step, "doc_id long, fp long, text_hash long, n_bytes long")
 
 
 def _turned(x: Column, start: Column, width: int) -> Column:
@@ -168,7 +150,7 @@ def near_groups(
     segments: int | None = None,
     bucket: int = 256,
 ) -> DataFrame:
-    """One row per input row: doc_id, fp, text_hash, fingerprint (hex), group (a
+    """One row per input row: doc_id, fp, text_hash, n_bytes, fingerprint (hex), group (a
     fingerprint that names the component), component_id, kept."""
     prints = cut(fingerprints(docs, id_col, text_col, words))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
@@ -183,6 +165,7 @@ def near_groups(
             "doc_id",
             "fp",
             "text_hash",
+            "n_bytes",
             F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
             "group",
             "component_id",
@@ -191,21 +174,15 @@ def near_groups(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group, all columns as they are."""
-    return drop_grouped(docs, near_groups(docs, id_col, text_col, **options), id_col, text_col)
-
-
-def drop_grouped(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with one document of each of the ``groups`` (doc_id, text_hash, group, kept)."""
-    groups = cut(groups.select("doc_id", "text_hash", "group", "kept"))
-    kept = groups.where("kept")
-    # Rows that repeat the kept id inside a group: the text of least hash stays.
-    first = kept.groupBy("doc_id", "group").agg(F.min("text_hash").alias("first")).withColumnsRenamed({"doc_id": "__of", "group": "__group"})
-    others = kept.join(first, F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("group") == F.col("__group"))).where("text_hash <> first")
-    lost = groups.where("not kept").select("doc_id", "text_hash").unionByName(others.select("doc_id", "text_hash")).distinct()
-    lost = lost.select(F.col("doc_id").alias("__lost"), F.col("text_hash").alias("__of"))
-    rows = docs.withColumn("__id", F.col(id_col)).withColumn("__hash", F.xxhash64(text_or_empty(text_col)))
-    left = rows.join(lost, F.col("__id").eqNullSafe(F.col("__lost")) & (F.col("__hash") == F.col("__of")), "left_anti")
-    repeated = kept.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    return one_row_each(left, ["__id", "__hash"], repeated).drop("__id", "__hash")
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: tuple[int, int] | None = None, **options) -> DataFrame:
+    """``docs`` with one document of each group, all columns as they are.
+
+    With a ``similarity`` (numerator, denominator) texts link by the Jaccard similarity of
+    their shingle sets instead of their fingerprints, see ``overlap``.
+    """
+    if similarity:
+        num, den = similarity
+        groups = overlap.near_groups(docs, id_col, text_col, num=num, den=den, **options)
+    else:
+        groups = near_groups(docs, id_col, text_col, **options)
+    return drop_grouped(docs, groups, id_col, text_col)

@@ -8,7 +8,7 @@ import xxhash
 from corpus_fixtures import ODD, prose
 from pyspark.sql import functions as F
 
-from rowtide.llm import exact_dedup, pq_neardup, simhash
+from rowtide.llm import common, exact_dedup, pq_neardup, simhash
 from rowtide.llm.components import connected_components
 
 
@@ -36,6 +36,13 @@ def test_components_of_chains_stars_and_loops(spark):
     assert connected_components(df.where("false")).collect() == []
 
 
+CLASHES = ("kept", "full_hash", "__hash", "__id", "__lost", "__of", "row", "word", "bit", "digest", "n_bytes", "listed", "group", "fp", "node")
+
+
+def clashing(docs):
+    return docs.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+
+
 def brute_exact(rows):
     groups = defaultdict(list)
     for i, t in rows:
@@ -51,10 +58,15 @@ def brute_exact(rows):
 CASES = [*enumerate(ODD), (50, ""), (51, "word"), (52, "word"), (53, "worm"), (52, "word"), (None, "nobody"), (None, "word"), (60, "a" * 100 + "b"), (61, "a" * 100 + "c"), (62, "a" * 100 + "b"), (3, "same id, other text"), (None, "alone")]
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_exact_groups(documents, limit):
+@pytest.mark.parametrize("words", [1, common.MARK_WORDS])
+def test_exact_groups(documents, monkeypatch, words):
+    """The same rows, digests included, whether the bitmaps are crowded or not."""
+    monkeypatch.setattr(common, "MARK_WORDS", words)
     rows = CASES + [(1000 + i, "hot") for i in range(200)]
-    got = exact_dedup.exact_groups(documents(rows), digest_all=True, broadcast_keys=limit)
+    some = exact_dedup.exact_groups(documents(rows)).select("doc_id", "keep_id", "group_size", "kept", "full_hash")
+    want = [(i, k, n, kept, digest if n > 1 else None) for i, k, n, kept, digest in brute_exact(rows)]
+    assert sorted(map(tuple, some.collect()), key=repr) == sorted(want, key=repr)
+    got = exact_dedup.exact_groups(documents(rows), digest_all=True)
     assert sorted(map(tuple, got.select("doc_id", "keep_id", "group_size", "kept", "full_hash").collect()), key=repr) == brute_exact(rows)
     assert exact_dedup.exact_groups(documents([])).collect() == []
 
@@ -65,8 +77,15 @@ def test_only_survivors_are_read_whole(documents):
     assert got == {1: True, 2: False, 3: True, 4: False}
 
 
+def test_each_stage_judges_what_the_one_before_left(documents):
+    rows = [(1, "alone in its length"), (2, "a" * 80), (3, "b" * 80), (4, "c" * 70 + "d"), (5, "c" * 70 + "e"), (6, "c" * 70 + "d"), (7, None)]
+    found = exact_dedup.refined(documents(rows)).collect()
+    assert {r["doc_id"] for r in found if r["prefix_hash"] is not None} == {2, 3, 4, 5, 6}
+    assert {r["doc_id"] for r in found if r["full_hash"] is not None} == {4, 5, 6}
+
+
 def test_dropping_copies_keeps_every_text_once(documents):
-    docs = documents(CASES).withColumn("kept", F.lit("clash")).withColumn("full_hash", F.lit(1))
+    docs = clashing(documents(CASES))
     left = exact_dedup.drop_duplicates(docs)
     assert left.columns == docs.columns
     texts = [r["text"] or "" for r in left.collect()]
@@ -138,8 +157,12 @@ def test_near_groups(documents):
             least[part[n]] = min(least.get(part[n], i), i)
     want = [(i, f"{prints[n]:016x}", least.get(part[n])) for n, (i, _) in enumerate(rows)]
     assert sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got), key=repr) == sorted(want, key=repr)
-    left = simhash.drop_near_duplicates(documents(rows)).collect()
-    assert len(left) == len(set(part.values()))
+    docs = clashing(documents(rows))
+    left = simhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    left = left.collect()
+    assert len(left) == len(set(part.values())) and all(r[c] == f"own {c}" for r in left for c in CLASHES)
+    assert simhash.near_groups(docs.where("false")).collect() == []
 
 
 def brute_vectors(rows, cosine=0.98):

@@ -7,7 +7,8 @@ import corpus_pipeline
 from rowtide.llm import queries
 from rowtide.llm.toxicity import score_documents
 from rowtide.llm.weak_quality import fit, score_documents as score_quality
-from test_dedup import brute_components, brute_fingerprint
+from test_dedup import CLASHES, brute_components, clashing
+from test_overlap import shingles
 
 SF = "/root/testdata/sf0.001"
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -32,14 +33,34 @@ def test_stages_against_brute_force(spark):
     for r in out[1]:
         last[r[1]] = max(last.get(r[1], r[0]), r[0])
     assert out[2] == [r for r in out[1] if last[r[1]] == r[0]]
-    prints = {r[0]: brute_fingerprint(r[1]) for r in out[2]}
-    links = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
-    part = brute_components(prints, links)
+    sets = {r[0]: shingles(r[1]) for r in out[2]}
+    links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    part = brute_components(sets, links)
     assert out[3] == [r for r in out[2] if part[r[0]] == r[0]]
     packed = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in packed} == {r[0] for r in out[3]}
 
 
+def test_stages_hand_on_odd_rows_and_all_columns(spark, documents):
+    """Nulls, empty and repeated rows, names that clash; and no rows at all."""
+    good = "The quick harbour signal turns over every stone, and the meadow answers with a lantern. " * 4
+    rows = [(1, good), (1, good), (2, good), (3, None), (4, ""), (None, None), (None, good + "Another end."), (5, good + "A third end of the text."), (5, "Same id, but a text of its own, long enough to be prose.")]
+    docs = clashing(documents(rows))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, SF)
+        assert left.columns == docs.columns
+        got = left.collect()
+        assert all(r[c] == f"own {c}" for r in got for c in CLASHES)
+        docs = spark.createDataFrame(got, docs.schema)
+    texts = [r["text"] or "" for r in got]
+    assert len(texts) == len(set(texts)) and rows[-1][1] in texts
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.count() == len(texts)
+    none = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).collect() == []
+
+
 def test_every_operator_has_one_query():
     for n in range(1, 11):
         assert len([q for q in queries.QUERIES if q.startswith(f"op{n}_")]) == 1
