@@ -1,25 +1,31 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings of ``STEMS`` letters.  The vocabulary holds the
-terms that tell the labels apart (a two-proportion z-score over the fitting rows);
-idf and norms are taken over it, so cosines are exact over that vocabulary.  The
-labelled examples lie in an inverted index whose postings are grouped in blocks of
-examples, each with the largest weight a term has in it.  A query visits the blocks
-in order of the upper bound that these give and stops when no block can reach the
-k-th best cosine; what it returns is therefore exact.  Votes weighted by distance
-give a raw score, and a monotone map fitted by leaving each example out turns it
-into a probability.  The neighbours are the evidence.
-
-Fitting uses at most ``max_examples`` labelled rows, those of least hash (a documented
-bound, so the model that is broadcast is bounded too).  Of rows whose least shingle hash
-and label agree one is an example: a group of near copies would otherwise make its own
-words look like signs of its label.  Scoring reads every row and whole texts.
-
-Defined cases: a null or empty text, or one without a vocabulary term, gets the rate
-of toxic rows among fitting rows without such a term; ties between neighbours go to
-the smaller example id; labels that are null are no examples; a document labelled
-several times gives one example for each distinct label row; without any example
-every score is 0; an empty table gives an empty result; extra columns are not used.
+Terms are the words of a whole text and their beginnings of ``STEM`` letters; every term
+that an example holds is indexed, however rare or frequent.  A term weighs (1 + ln count)
+x idf x relevance; relevance is 1 plus the square root of the term's G statistic against
+the label among the examples, so that a neighbour is near for what tells the labels apart
+and not for its topic alone (without it held-out recall is about a half, see README).
+
+The labelled examples lie in an inverted index cut into blocks of like examples.  Short
+postings lists are summed whole.  Of a long list only the largest weight in each block is
+read at first: with the short part it bounds every cosine in the block from above.  Blocks
+whose bound reaches the k-th best cosine found so far are then scored in full, hence what
+is returned is exact.  Votes weighted by distance give a raw score, and a monotone map
+fitted by leaving each example out turns it into a probability.  The neighbours are the
+evidence.
+
+Fitting uses at most ``max_examples`` labelled rows, those of least hash, and of these the
+first whose texts together hold ``max_bytes`` at most (documented bounds, so the model that
+is broadcast is bounded too; a text that no longer fits is passed over).  Rows of equal
+text and label are one example.  Scoring reads every row and whole texts of any length.
+
+Defined cases: a null or empty text, or one that shares no term with an example, gets the
+rate of toxic rows among the examples (among those without terms, if there are any); ties
+between neighbours go to the smaller example id; labels that are null are no examples; a
+document labelled several times gives one example for each distinct label row; repeated
+rows are scored one by one; without any example every score is 0; an empty table gives an
+empty result; extra columns, whatever their names, are not used and ``keep_clean`` hands
+them on.
 """
 
 from __future__ import annotations
@@ -27,7 +33,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,99 +42,116 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, keep_rows, map_arrow, text_or_empty, texts_of
-from .simhash import shingle_hashes
-
-MAX_EXAMPLES = 12_000
-MAX_TERMS = 4_096
-#: Least z-score of a vocabulary term, least correlation with the label, and rows that
-#: must hold it.  The second keeps out what one group of near copies made frequent.
-LEAST_Z = 5.0
-LEAST_CORRELATION = 0.12
-LEAST_ROWS = 4
+
+MAX_EXAMPLES = 4_000
+MAX_BYTES = 64 << 20
 NEIGHBOURS = 16
-STEMS = (4, 5, 6)
-BLOCK = 64
-_POSITIVE = (1 << 63) - 1
+STEM = 5
+BLOCK = 32
+#: A term that more than this share of the examples holds has a long list.
+LONG_SHARE = 1 / 8
+#: Words whose terms are remembered in a worker; the memory then starts afresh.
+REMEMBERED = 1_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms(text: str) -> Counter:
     """Counts of the words and word beginnings of a whole text."""
-    words = Counter(_WORD.findall(text.lower()))
     out: Counter = Counter()
-    for w, n in words.items():
-        out[w] += n
-        for k in STEMS:
-            if len(w) > k:
-                out[w[:k] + "*"] += n
-    return out
-
-
-def in_vocabulary(text: str, vocabulary: dict[str, int]) -> dict[int, int]:
-    """{term number: count} of the vocabulary's terms only."""
-    out: dict[int, int] = {}
     for w, n in Counter(_WORD.findall(text.lower())).items():
-        at = vocabulary.get(w)
-        if at is not None:
-            out[at] = out.get(at, 0) + n
-        for k in STEMS:
-            if len(w) > k:
-                at = vocabulary.get(w[:k] + "*")
-                if at is not None:
-                    out[at] = out.get(at, 0) + n
+        out[w] += n
+        if len(w) > STEM:
+            out[w[:STEM] + "*"] += n
     return out
 
 
 class BlockMaxIndex:
-    """Exact top-k cosine over weighted term vectors of unit length."""
+    """Exact top-k cosine over weighted term vectors of unit length.
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = BLOCK):
+    ``vectors`` are pairs of ascending term numbers and weights; rows keep their place
+    in that list as their name, whatever block they lie in.
+    """
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK, long_share: float = LONG_SHARE):
         self.n, self.block = len(vectors), block
+        sizes = np.array([len(t) for t, _ in vectors], np.int64)
+        term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)]).astype(np.int64)
+        weight = np.concatenate([w for _, w in vectors] or [np.empty(0)]).astype(np.float64)
+        row = np.repeat(np.arange(self.n), sizes)
+        length = np.bincount(term, minlength=n_terms)
+        self.long = np.full(n_terms, -1, np.int64)
+        often = np.flatnonzero(length > max(block // 4, self.n * long_share))
+        self.long[often] = np.arange(len(often))
+        # Like examples share a block: ordered by their two heaviest frequent terms.
+        is_long = self.long[term] >= 0
+        dense = np.zeros((self.n, len(often)))
+        dense[row[is_long], self.long[term[is_long]]] = weight[is_long]
+        if len(often) > 1 and self.n:
+            top = np.argsort(-dense, axis=1, kind="stable")[:, :2]
+            self.rows = np.lexsort((np.arange(self.n), top[:, 1], top[:, 0]))
+        else:
+            self.rows = np.arange(self.n)
         self.n_blocks = -(-self.n // block)
-        rows = sorted((t, i, w) for i, v in enumerate(vectors) for t, w in v.items())
-        self.docs = np.array([r[1] for r in rows], np.int64)
-        self.weights = np.array([r[2] for r in rows], np.float64)
-        self.first = np.searchsorted(np.array([r[0] for r in rows], np.int64), np.arange(n_terms + 1))
-        # For each term: the blocks it occurs in, where their postings begin, and the
-        # largest weight there.
-        self.heads: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for t in range(n_terms):
-            a, b = int(self.first[t]), int(self.first[t + 1])
-            blocks, at = np.unique(self.docs[a:b] // block, return_index=True)
-            top = np.maximum.reduceat(self.weights[a:b], at) if b > a else np.empty(0)
-            self.heads.append((blocks, np.append(at + a, b), top))
-
-    def nearest(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
+        full = np.zeros((self.n_blocks * block, len(often)))
+        full[: self.n] = dense[self.rows]
+        # Long lists by block, term and place in the block; and the largest weight in each block.
+        self.dense = np.ascontiguousarray(full.reshape(self.n_blocks, block, len(often)).transpose(0, 2, 1))
+        self.top = np.ascontiguousarray(self.dense.max(axis=2).T)
+        place = np.empty(self.n, np.int64)
+        place[self.rows] = np.arange(self.n)
+        order = np.lexsort((place[row[~is_long]], term[~is_long]))
+        self.places = place[row[~is_long]][order]
+        self.weights = weight[~is_long][order]
+        self.first = np.searchsorted(term[~is_long][order], np.arange(n_terms + 1))
+        self.place = place
+
+    def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The k largest positive cosines as (cosine, row), ties to the smaller row."""
-        bound = np.zeros(self.n_blocks)
-        for t, w in query.items():
-            blocks, _, top = self.heads[t]
-            bound[blocks] += w * top
-        best: list[tuple[float, int]] = []
-        order = np.lexsort((np.arange(self.n_blocks), -bound))
-        for b in order.tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1][0] - 1e-12):
+        term, weight = query
+        if not len(term) or not self.n:
+            return []
+        long = self.long[term]
+        short = long < 0
+        score = np.zeros(self.n_blocks * self.block)
+        if short.any():
+            start, stop = self.first[term[short]], self.first[term[short] + 1]
+            lists = list(map(slice, start.tolist(), stop.tolist()))
+            part = np.concatenate([self.weights[x] for x in lists])
+            part *= np.repeat(weight[short], stop - start)
+            score = np.bincount(np.concatenate([self.places[x] for x in lists]), part, minlength=len(score))
+        score = score.reshape(self.n_blocks, self.block)
+        long, held = long[~short], weight[~short]
+        bound = score.max(axis=1) + held @ self.top[long]
+        order = np.argsort(-bound, kind="stable")
+        found, rows, least, at = np.empty(0), np.empty(0, np.int64), 0.0, 0
+        step = -(-k // self.block) + 1
+        while at < self.n_blocks:
+            some = order[at : at + step]
+            some = some[bound[some] >= max(least - 1e-12, 1e-300)]
+            if not len(some):
                 break
-            score = np.zeros(self.block)
-            for t, w in query.items():
-                blocks, at, _ = self.heads[t]
-                j = int(np.searchsorted(blocks, b))
-                if j < len(blocks) and blocks[j] == b:
-                    part = slice(at[j], at[j + 1])
-                    score[self.docs[part] - b * self.block] += w * self.weights[part]
-            for i in np.flatnonzero(score > 0).tolist():
-                row = b * self.block + i
-                if row != skip:
-                    best.append((float(score[i]), row))
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[k:]
-        return best
+            got = (score[some] + held @ self.dense[some[:, None], long]).ravel()
+            own = (some[:, None] * self.block + np.arange(self.block)).ravel()
+            hit = np.flatnonzero((got > 0) & (got >= least - 1e-12) & (own < self.n))
+            found, rows = np.concatenate((found, got[hit])), np.concatenate((rows, self.rows[own[hit]]))
+            if skip >= 0:
+                left = rows != skip
+                found, rows = found[left], rows[left]
+            if len(found) > k:
+                best = np.lexsort((rows, -found))[:k]
+                found, rows = found[best], rows[best]
+            if len(found) == k:
+                least = float(found.min())
+            at += step
+            step *= 4
+        best = np.lexsort((rows, -found))[:k]
+        return list(zip(found[best].tolist(), rows[best].tolist(), strict=True))
 
 
 @dataclass
 class Model:
     vocabulary: dict[str, int]
-    idf: np.ndarray
+    weight: np.ndarray
     ids: list[int]
     labels: np.ndarray
     index: BlockMaxIndex | None
@@ -136,12 +160,22 @@ class Model:
     knots: np.ndarray
     values: np.ndarray
     neighbours: int = NEIGHBOURS
-
-    def vector(self, text: str) -> dict[int, float]:
-        counts = in_vocabulary(text, self.vocabulary)
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in sorted(raw.items())} if norm > 0 else {}
+    known: dict[str, tuple[int, int]] = field(default_factory=dict)
+
+    def _terms_of(self, word: str) -> tuple[int, int]:
+        return self.vocabulary.get(word, -1), self.vocabulary.get(word[:STEM] + "*", -1) if len(word) > STEM else -1
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending term numbers and weights of unit length; terms of no example weigh nothing."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known = self.known
+        words = Counter(_WORD.findall(text.lower()))
+        for w in [x for x in words if x not in known]:
+            known[w] = self._terms_of(w)
+        held = np.fromiter(chain.from_iterable([known[w] for w in words]), np.int64, 2 * len(words))
+        times = np.repeat(np.fromiter(words.values(), np.float64, len(words)), 2)
+        return weigh(held[held >= 0], times[held >= 0], self.weight)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Distance-weighted share of toxic neighbours, drawn a little to the prior."""
@@ -150,13 +184,21 @@ class Model:
         return (toxic + self.prior) / (sum(weight) + 1)
 
     def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
-        query = self.vector(text) if self.index is not None else {}
-        near = self.index.nearest(query, self.neighbours) if query else []
+        near = self.index.nearest(self.vector(text), self.neighbours) if self.index is not None else []
         if not near:
             return self.bare, []
         return float(np.interp(self.vote(near), self.knots, self.values)), near
 
 
+def weigh(held: np.ndarray, times: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, weights of unit length) from term numbers with counts, repeats allowed."""
+    if not len(held):
+        return held, times
+    term, at = np.unique(held, return_inverse=True)
+    raw = (1 + np.log(np.bincount(at, times))) * weight[term]
+    return term, raw / math.sqrt(float(raw @ raw))
+
+
 def _monotone(raw: np.ndarray, labels: np.ndarray, least: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators over bins of raw scores, smoothed by one row of each label."""
     if not len(raw):
@@ -172,25 +214,56 @@ def _monotone(raw: np.ndarray, labels: np.ndarray, least: int = 20) -> tuple[np.
     return np.array([p[2] / p[1] for p in pools]), np.array([(p[0] + 0.5) / (p[1] + 1) for p in pools])
 
 
-def select_terms(counts: list[tuple[str, int, int]], n: int, n_toxic: int, max_terms: int) -> list[str]:
-    """Terms by the size of their z-score, from (term, rows, toxic rows)."""
-    scored = []
-    for term, rows, toxic in counts:
-        p, q = toxic / max(n_toxic, 1), (rows - toxic) / max(n - n_toxic, 1)
-        pooled = rows / n
-        spread = math.sqrt(max(pooled * (1 - pooled), 1e-12) * (1 / max(n_toxic, 1) + 1 / max(n - n_toxic, 1)))
-        z = (p - q) / spread
-        if abs(z) >= max(LEAST_Z, LEAST_CORRELATION * math.sqrt(n)):
-            scored.append((-abs(z), term))
-    return [t for _, t in sorted(scored)[:max_terms]]
-
-
 def learning_rows(id_col: str = "doc_id") -> Column:
     """True for rows that may be learned from: crc32 of the id as text, mod 5, not 0."""
     text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     return F.pmod(F.crc32(text.cast("binary")), F.lit(5)) != 0
 
 
+def term_weights(rows: np.ndarray, toxic: np.ndarray, n: int, n_toxic: int) -> np.ndarray:
+    """idf x relevance of terms that ``rows`` of ``n`` examples hold, ``toxic`` of them toxic."""
+    idf = np.log((n + 2) / (rows + 1))
+    prior = n_toxic / n
+    if not 0 < prior < 1:
+        return idf
+    share = toxic / rows
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(share > 0, share * np.log(share / prior), 0.0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - prior)), 0.0)
+    return idf * (1 + np.sqrt(np.maximum(2 * rows * gain, 0)))
+
+
+def fit_examples(examples: list[tuple[int, str, bool]], neighbours: int = NEIGHBOURS) -> Model:
+    """A model of (id, text, toxic) examples, which are few enough for one process."""
+    empty = np.array([0.0, 1.0])
+    examples = sorted(examples)
+    n, n_toxic = len(examples), sum(y for _, _, y in examples)
+    if not n:
+        return Model({}, np.empty(0), [], np.empty(0, bool), None, 0.0, 0.0, empty, empty, neighbours)
+    vocabulary: dict[str, int] = {}
+    counted = []
+    for _, text, _ in examples:
+        found = terms(text)
+        counted.append((np.array([vocabulary.setdefault(t, len(vocabulary)) for t in found], np.int64), np.array(list(found.values()), np.float64)))
+    labels = np.array([y for _, _, y in examples], bool)
+    rows, toxic = np.zeros(len(vocabulary)), np.zeros(len(vocabulary))
+    for (held, _), y in zip(counted, labels, strict=True):
+        rows[held] += 1
+        toxic[held] += y
+    weight = term_weights(rows, toxic, n, n_toxic) if len(vocabulary) else np.empty(0)
+    some = [i for i, (held, _) in enumerate(counted) if len(held)]
+    prior = n_toxic / n
+    bare = [labels[i] for i in range(n) if not len(counted[i][0])]
+    vectors = [weigh(*counted[i], weight) for i in some]
+    index = BlockMaxIndex(vectors, len(vocabulary)) if some else None
+    model = Model(
+        vocabulary, weight, [examples[i][0] for i in some], labels[some], index, (sum(bare) + prior) / (len(bare) + 1), prior, empty, empty, neighbours
+    )
+    if index is not None:
+        left_out = [(model.vote(near), model.labels[i]) for i, v in enumerate(vectors) if (near := index.nearest(v, neighbours, skip=i))]
+        model.knots, model.values = _monotone(np.array([a for a, _ in left_out]), np.array([b for _, b in left_out], float))
+    return model
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -198,85 +271,30 @@ def fit(
     text_col: str = "text",
     *,
     max_examples: int = MAX_EXAMPLES,
-    max_terms: int = MAX_TERMS,
+    max_bytes: int = MAX_BYTES,
     neighbours: int = NEIGHBOURS,
 ) -> Model:
     """``labels``: (doc_id, toxic), the rows that may be learned from."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    usable = usable.select("doc_id", (F.col("toxic") == 1).alias("toxic")).distinct()
+    usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).alias("toxic")).distinct()
     n_usable = usable.count()
     share = int(min(1.0, 1.3 * max_examples / max(n_usable, 1)) * (1 << 30))
     likely = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
+    # At most max_examples rows of nine bytes.
     chosen = cut(likely.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_examples))
-    sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).join(
-        # At most max_examples rows of nine bytes.
-        F.broadcast(chosen), "doc_id"
-    )
-    def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        least = [int(h.min()) & _POSITIVE if len(h := shingle_hashes(x, 3)) else 0 for x in texts_of(batch.column(1))]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], ["doc_id", "text", "toxic", "signature"])
-
-    signed = map_arrow(sample.select("doc_id", "text", "toxic"), sign, "doc_id long, text string, toxic boolean, signature long")
-    sample = signed.groupBy("signature", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("row"))
-    sample = cut(sample.select("row.doc_id", "row.text", "toxic"))
-
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, toxic = Counter(), Counter()
-        for x, y in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            found = terms(x).keys()
-            rows.update(found)
-            if y:
-                toxic.update(found)
-        names = list(rows)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array([rows[t] for t in names], pa.int64()), pa.array([toxic[t] for t in names], pa.int64())],
-            ["term", "rows", "toxic_rows"],
-        )
-
-    totals = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0)).alias("t")).first()
-    n, n_toxic = totals["n"], totals["t"]
-    empty = np.array([0.0, 1.0])
-    if not n:
-        return Model({}, np.empty(0), [], np.empty(0, bool), None, 0.0, 0.0, empty, empty, neighbours)
-    prior = n_toxic / n
-    tallied = map_arrow(sample.select("text", "toxic"), count, "term string, rows long, toxic_rows long")
-    p, q = F.col("toxic_rows") / max(n_toxic, 1), (F.col("rows") - F.col("toxic_rows")) / max(n - n_toxic, 1)
-    pooled = F.col("rows") / n
-    z = F.abs(p - q) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / max(n_toxic, 1) + 1 / max(n - n_toxic, 1)))
-    counted = (
-        tallied.groupBy("term").agg(F.sum("rows").alias("rows"), F.sum("toxic_rows").alias("toxic_rows"))
-        .where((F.col("rows") >= LEAST_ROWS) & (z >= max(LEAST_Z, LEAST_CORRELATION * math.sqrt(n))))
-        .orderBy(z.desc(), "term").limit(max_terms)
-    )
-    found = [(r["term"], r["rows"], r["toxic_rows"]) for r in counted.collect()]
-    names = select_terms(found, n, n_toxic, max_terms)
-    vocabulary = {t: i for i, t in enumerate(names)}
-    rows_of = {t: r for t, r, _ in found}
-    idf = np.array([math.log((1 + n) / (1 + rows_of[t])) + 1 for t in names])
-
-    def reduce(batch: pa.RecordBatch) -> pa.RecordBatch:
-        held = [in_vocabulary(x, vocabulary) for x in texts_of(batch.column(1))]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array([list(h) for h in held], pa.list_(pa.int32())), pa.array([list(h.values()) for h in held], pa.list_(pa.int32()))],
-            ["doc_id", "toxic", "terms", "counts"],
-        )
-
-    reduced = map_arrow(sample.select("doc_id", "text", "toxic"), reduce, "doc_id long, toxic boolean, terms array<int>, counts array<int>")
-    examples = sorted((r["doc_id"], r["toxic"], r["terms"], r["counts"]) for r in reduced.collect())
-    bare_rows = [e for e in examples if not e[2]]
-    bare = (sum(e[1] for e in bare_rows) + prior) / (len(bare_rows) + 1)
-    held = [e for e in examples if e[2]]
-    vectors = []
-    for _, _, ts, ns in held:
-        raw = {t: (1 + math.log(c)) * idf[t] for t, c in zip(ts, ns, strict=True)}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        vectors.append({t: w / norm for t, w in sorted(raw.items())})
-    index = BlockMaxIndex(vectors, len(names)) if held else None
-    model = Model(vocabulary, idf, [e[0] for e in held], np.array([e[1] for e in held], bool), index, bare, prior, empty, empty, neighbours)
-    if index is not None:
-        left_out = [(model.vote(near), model.labels[i]) for i, v in enumerate(vectors) if (near := index.nearest(v, neighbours, skip=i))]
-        model.knots, model.values = _monotone(np.array([a for a, _ in left_out]), np.array([b for _, b in left_out], float))
-    return model
+    text = text_or_empty(text_col)
+    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), "doc_id")
+    held = held.select("doc_id", "toxic", F.octet_length("text").alias("size"), F.sha2("text", 256).alias("digest"), "text")
+    # Names and sizes first; then the texts that fit, each once.
+    named = held.groupBy("digest", "toxic").agg(F.min("doc_id").alias("doc_id"), F.any_value("size").alias("size"))
+    room, taken = max_bytes, []
+    for r in named.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "digest").limit(max_examples).collect():
+        if r["size"] <= room:
+            room -= r["size"]
+            taken.append((r["doc_id"], r["toxic"], r["digest"]))
+    wanted = docs.sparkSession.createDataFrame(taken, "doc_id long, toxic boolean, digest string")
+    texts = held.join(F.broadcast(wanted), ["doc_id", "toxic", "digest"], "left_semi").dropDuplicates(["doc_id", "toxic", "digest"])
+    return fit_examples([(r["doc_id"], r["text"], r["toxic"]) for r in texts.select("doc_id", "text", "toxic").toArrow().to_pylist()], neighbours)
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
