@@ -4,12 +4,16 @@ A rule (host and path prefix) decides the urls it fits; the longest fitting rule
 Other urls follow their host: hosts that allow rules mostly cover are trusted seeds,
 hosts that block rules mostly cover are blocked seeds.  Trust is a personalised
 PageRank from the trusted seeds along links between hosts, distrust one from the
-blocked seeds against them; a host whose distrust reaches a least share of a seed's
-and exceeds its trust by a ratio is blocked.  All of it is DataFrame expressions.
+blocked seeds against them.  A host is blocked whose distrust exceeds its trust by a ratio
+and reaches a threshold of its own: a least share of a seed's mass times what the host takes
+in of its targets' masses in one step, at most 1.  So a host that links to blocked hosts
+alone is blocked however many others do the same.  All of it is DataFrame expressions.
 
 Links are the hosts of absolute ``href`` targets, counted once a page.  They are
 pre-aggregated to weighted host pairs before the first shuffle, and both directions
-run in one loop over (host, kind) masses, which holds reached hosts only.
+run in one loop over (host, kind) masses, which holds reached hosts only.  Sums are written to
+the shared folder before they are joined, so that the edges of a hub host split.  A few
+rules are one expression on every row; more are joined, by equal host and path prefix.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, fits no
 rule and is allowed unless the empty host is (it never is) blocked; null pages have no
@@ -30,8 +34,10 @@ from .common import cut
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The host of an absolute link's target.
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/"'\s>?#]+)"""
-#: Rules become part of the expression of every row, so their number is bounded.
-MAX_RULES = 1_000
+#: Up to so many rules are an expression on every row; more are joined.
+EXPRESSION_RULES = 50
+#: Up to so many rules are broadcast (a few dozen bytes each).
+BROADCAST_RULES = 100_000
 
 
 @dataclass(frozen=True)
@@ -63,8 +69,6 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 def matching_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
     """Text and action of the longest fitting rule; null where none fits."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     text, action = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: (len(r.text), [-ord(c) for c in r.text])):
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
@@ -72,6 +76,34 @@ def matching_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column
     return text, action
 
 
+def with_rules(urls: DataFrame, rules: list[Rule], *, expression_rules: int = EXPRESSION_RULES) -> DataFrame:
+    """``urls`` (with host and path) and the text and action of their longest fitting rule.
+
+    Beyond ``expression_rules`` every distinct (host, path) meets the rules of its domain
+    suffixes, and of these only those that equal the beginning of its path.
+    """
+    if len(rules) <= expression_rules:
+        rule, action = matching_rule(F.col("host"), F.col("path"), rules)
+        return urls.withColumns({"rule": rule, "action": action})
+    spark = urls.sparkSession
+    # Of rules of the same text the last one given holds, as in the expression.
+    table = spark.createDataFrame([(r.host, r.path, r.text, r.action) for r in {r.text: r for r in rules}.values()], "zone string, prefix string, rule string, action string")
+    lengths = table.groupBy("zone").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    if len(rules) <= BROADCAST_RULES:
+        table, lengths = F.broadcast(table), F.broadcast(lengths)
+    labels = F.split("host", "[.]")
+    zones = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    pairs = urls.where("host <> ''").select("host", "path").distinct()
+    met = pairs.select("host", "path", F.explode(zones).alias("zone")).join(lengths, "zone")
+    met = met.select("host", "path", "zone", F.explode("lengths").alias("n")).where(F.length("path") >= F.col("n"))
+    met = met.select("host", "path", "zone", F.substr("path", F.lit(1), F.col("n")).alias("prefix")).join(table, ["zone", "prefix"])
+    # The longest, of equal length the one that sorts first.
+    longest = met.groupBy("host", "path").agg(F.max(F.length("rule")).alias("n"))
+    best = met.join(longest, ["host", "path"]).where(F.length("rule") == F.col("n"))
+    best = cut(best.groupBy("host", "path").agg(F.min(F.struct("rule", "action")).alias("best")).select("host", "path", "best.rule", "best.action"))
+    return urls.join(best, ["host", "path"], "left")
+
+
 def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst, w): pages of host src that link to host dst, src and dst apart."""
     host, _ = url_parts(F.col(url_col))
@@ -80,27 +112,28 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return linked.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
 
 
-def spread(links: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 10) -> DataFrame:
-    """(host, kind, mass) after ``rounds`` rounds from ``seeds`` (host, kind, mass).
-
-    Kind ``trust`` follows links, kind ``distrust`` goes against them.
-    """
+def host_steps(links: DataFrame) -> DataFrame:
+    """(kind, a, b, share): the share of a's mass that goes to b, along links for kind
+    ``trust`` and against them for ``distrust``."""
     both = links.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "w").unionByName(
         links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "w")
     )
-    total = both.groupBy("kind", "a").agg(F.sum("w").alias("total"))
-    steps = cut(both.join(total, ["kind", "a"]).select("kind", "a", "b", (F.col("w") / F.col("total")).alias("share")))
+    both = cut(both)
+    total = cut(both.groupBy("kind", "a").agg(F.sum("w").alias("total")))
+    return cut(both.join(total, ["kind", "a"]).select("kind", "a", "b", (F.col("w") / F.col("total")).alias("share")))
+
+
+def spread(steps: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+    """(host, kind, mass) after ``rounds`` rounds from ``seeds`` (host, kind, mass)."""
     fresh = seeds.select("host", "kind", (F.col("mass") * (1 - damping)).alias("mass"))
     state = fresh
     if not steps.take(1):
         return state
-    for i in range(rounds):
+    for _ in range(rounds):
         moved = steps.join(state.withColumnRenamed("host", "a"), ["kind", "a"]).select(
             F.col("b").alias("host"), "kind", (F.col("share") * F.col("mass") * damping).alias("mass")
         )
-        state = moved.unionByName(fresh).groupBy("host", "kind").agg(F.sum("mass").alias("mass"))
-        if i % 5 == 4:
-            state = cut(state)
+        state = cut(moved.unionByName(fresh).groupBy("host", "kind").agg(F.sum("mass").alias("mass")))
     return state
 
 
@@ -118,12 +151,11 @@ def judge_urls(
 ) -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, trust, distrust.
 
-    ``least`` is measured against the mass of one blocked seed.
+    ``least`` is measured against the mass of one blocked seed, see above.
     """
     host, path = url_parts(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    rule, action = matching_rule(F.col("host"), F.col("path"), rules)
-    urls = urls.withColumn("rule", rule).withColumn("action", action)
+    urls = with_rules(urls, rules)
     per_host = (
         urls.where("host <> ''").groupBy("host")
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("action") == "allow").alias("allow"), F.count_if(F.col("action") == "block").alias("block"))
@@ -135,13 +167,16 @@ def judge_urls(
     numbers = {r["kind"]: r["n"] for r in chosen.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     if numbers:
         mass = F.when(F.col("kind") == "trust", F.lit(1.0 / max(numbers.get("trust", 0), 1))).otherwise(F.lit(1.0 / max(numbers.get("distrust", 0), 1)))
-        state = spread(host_links(pages, url_col, html_col), chosen.withColumn("mass", mass), damping=damping, rounds=rounds)
+        steps = host_steps(host_links(pages, url_col, html_col))
+        state = spread(steps, chosen.withColumn("mass", mass), damping=damping, rounds=rounds)
+        taken = steps.where("kind = 'distrust'").select(F.col("b").alias("host"), F.lit("taken").alias("kind"), F.col("share").alias("mass"))
+        state = state.unionByName(taken)
     else:
         state = chosen.withColumn("mass", F.lit(0.0))
     one_seed = 1.0 / max(numbers.get("distrust", 0), 1)
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("mass"))), F.lit(0.0))
-    judged = cut(state.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust")))
-    blocked = (F.col("distrust") >= least * one_seed) & (F.col("distrust") > ratio * F.col("trust"))
+    judged = cut(state.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"), of("taken").alias("taken")))
+    blocked = (F.col("distrust") > 0) & (F.col("distrust") >= least * one_seed * F.least(F.lit(1.0), F.col("taken"))) & (F.col("distrust") > ratio * F.col("trust"))
     found = urls.join(judged.withColumn("bad", blocked), "host", "left")
     verdict = F.coalesce(F.col("action"), F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow")))
     return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
@@ -173,9 +208,10 @@ def oracle(rules: list[Rule], *, damping: float = 0.85, rounds: int = 10, least:
             f"r{i + 1} AS MATERIALIZED (SELECT host, kind, sum(mass) AS mass FROM (SELECT e.b AS host, e.kind, e.share * r.mass * {damping!r} AS mass "
             f"FROM e JOIN r{i} r ON e.a = r.host AND e.kind = r.kind UNION ALL SELECT host, kind, mass FROM f) GROUP BY host, kind)"
         )
+    parts.append("q AS (SELECT b AS host, sum(share) AS taken FROM e WHERE kind = 'distrust' GROUP BY b)")
     parts.append(f"j AS (SELECT host, coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS t, coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS d FROM r{rounds} GROUP BY host)")
     parts.append("o AS (SELECT 1.0::DOUBLE / greatest(count(*), 1) AS one FROM s0 WHERE kind = 'distrust')")
     return ",\n".join(parts) + (
-        f"\nSELECT page_id, u.host, path, rule, coalesce(act, CASE WHEN j.d >= {least!r} * o.one AND j.d > {ratio!r} * j.t THEN 'block' ELSE 'allow' END) AS verdict "
-        "FROM u CROSS JOIN o LEFT JOIN j ON u.host = j.host"
+        f"\nSELECT page_id, u.host, path, rule, coalesce(act, CASE WHEN j.d > 0 AND j.d >= {least!r} * o.one * least(1, coalesce(q.taken, 0)) AND j.d > {ratio!r} * j.t THEN 'block' ELSE 'allow' END) AS verdict "
+        "FROM u CROSS JOIN o LEFT JOIN j ON u.host = j.host LEFT JOIN q ON u.host = q.host"
     )
