@@ -5,12 +5,15 @@ Expectation-maximisation over the table of vote patterns (all documents counted;
 most 3 to the number of labellers patterns) estimates how each labeller votes on
 either class, and from that the posterior of every pattern.  A linear scorer over
 hashed words, word shapes and text statistics is then trained on posterior labels of
-at most ``sample`` rows (those of least hash), so that it also judges texts on which
-every labeller is silent; a document's score is the mean of both in log-odds.
-
-Defined cases: a null or empty text gets no votes and is scored by the prior and the
-scorer's bias; ties in the sample go by hash, then id; repeated rows are scored alike;
-an empty table gives an empty result; extra columns are not looked at.
+at most ``sample`` rows (those of least hash, and as many of them as hold ``MAX_FEATURES``
+features together), so that it also judges texts on which every labeller is silent.  The
+scorer decides; a text is measured once for its votes and features.
+
+Defined cases: a null or empty text gets no votes and is scored by the scorer's bias and
+the features of an empty text; texts of any length are measured whole (the share of
+distinct words is the mean over stretches of ``STRETCH`` words); ties in the sample go by
+hash, then id; repeated rows are scored alike; an empty table gives an empty result; extra
+columns, whatever their names, are not looked at, and ``keep_good`` hands them on.
 """
 
 from __future__ import annotations
@@ -32,6 +35,10 @@ from .common import cut, keep_rows, map_arrow, text_or_empty, texts_of
 LOW, SILENT, GOOD = 0, 1, 2
 SAMPLE = 12_000
 BUCKETS = 1 << 14
+#: Features that may reach the driver: 12 bytes each, 72 MB.
+MAX_FEATURES = 6_000_000
+#: Words over which the share of distinct words is taken.
+STRETCH = 4_000
 _SYMBOLS = "#$%&*@^~=<>{}[]\\_|"
 
 
@@ -51,8 +58,7 @@ class Facts:
     word_length: float
 
 
-def facts(text: str) -> Facts:
-    words = text.split()
+def facts(text: str, words: list[str]) -> Facts:
     n = len(words)
     lines = [x for x in text.split("\n") if x]
     per = 1 / max(n, 1)
@@ -63,7 +69,7 @@ def facts(text: str) -> Facts:
         sum(map(text.count, _SYMBOLS)) * per,
         text.count("|") * per,
         text.count("!") * per,
-        len(set(words)) * per,
+        sum(len(set(words[at : at + STRETCH])) for at in range(0, n, STRETCH)) * per,
         (text.count(". ") + text.count(".\n") + text.endswith(".")) * per,
         1 - len(set(lines)) / max(len(lines), 1),
         len(text) * per,
@@ -81,16 +87,15 @@ LABELLERS: dict[str, Callable[[Facts], int]] = {
     "symbols": lambda f: _between(f.symbols, 0.05, 0.3) if f.n_words >= 5 else SILENT,
     "bars": lambda f: _between(f.bars, 0.02, 0.15) if f.n_words >= 5 else SILENT,
     "exclaiming": lambda f: _between(f.exclaimed, 0.05, 0.3) if f.n_words >= 5 else SILENT,
-    "diversity": lambda f: _between(1 - f.distinct, 0.5, 0.9) if 40 <= f.n_words <= 4000 else SILENT,
+    "diversity": lambda f: _between(1 - f.distinct, 0.5, 0.9) if f.n_words >= 40 else SILENT,
     "sentences": lambda f: SILENT if f.n_words < 30 else GOOD if 0.02 < f.ended < 0.4 else LOW if f.ended < 0.004 else SILENT,
     "lines": lambda f: SILENT if f.n_words < 30 else _between(f.repeated_lines, 0.1, 0.5),
     "word_length": lambda f: SILENT if f.n_words < 10 else GOOD if 3 < f.word_length < 12 else LOW if f.word_length > 25 else SILENT,
 }
 
 
-def votes(text: str) -> int:
+def votes(f: Facts) -> int:
     """All votes as one number, a base-three digit for each labeller."""
-    f = facts(text)
     code = 0
     for judge in LABELLERS.values():
         code = code * 3 + judge(f)
@@ -171,14 +176,12 @@ def _shape(word: str) -> str:
     return head + ("" if tail.isalnum() else tail) + str(min(len(word), 20) // 4)
 
 
-def features(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+def features(words: list[str], f: Facts, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Hashed buckets and values (unit length) of a whole text."""
-    words = text.split()
     counts: Counter = Counter()
     for w, n in Counter(words).items():
         counts["w" + w.lower().strip(".,;:!?")] += n
         counts["s" + _shape(w)] += 4 * n
-    f = facts(text)
     for name in ("shouted", "stuttered", "symbols", "bars", "exclaimed", "distinct", "ended", "repeated_lines"):
         counts[f"f{name}{min(int(getattr(f, name) * 10), 10)}"] += 3 * max(f.n_words, 1)
     held: dict[int, float] = {}
@@ -192,16 +195,27 @@ def features(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]
     return at, value / norm if norm else value
 
 
+def measure(text: str, buckets: int = BUCKETS) -> tuple[int, np.ndarray, np.ndarray]:
+    """(vote code, buckets, values) of a whole text."""
+    words = text.split()
+    f = facts(text, words)
+    return votes(f), *features(words, f, buckets)
+
+
 @dataclass
 class Scorer:
     weights: np.ndarray
     bias: float
 
-    def log_odds(self, text: str) -> float:
-        at, value = features(text, len(self.weights))
+    def log_odds(self, at: np.ndarray, value: np.ndarray) -> float:
         return float(self.weights[at] @ value + self.bias)
 
 
+def slope(weights: np.ndarray, bias: float, at: np.ndarray, value: np.ndarray, target: float) -> float:
+    """Derivative of the cross-entropy of a row by its log-odds."""
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(weights[at] @ value) + bias)))) - target
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray]], posteriors: np.ndarray, buckets: int = BUCKETS, rounds: int = 12, rate: float = 0.5, decay: float = 1e-5) -> Scorer:
     """Logistic regression by adaptive gradient steps on soft labels."""
     weights, bias = np.zeros(buckets), 0.0
@@ -210,13 +224,12 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], posteriors: np.ndarray, buc
     for _ in range(rounds):
         for i in order.permutation(len(rows)).tolist():
             at, value = rows[i]
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(weights[at] @ value) + bias))))
-            slope = p - posteriors[i]
-            step = slope * value + decay * weights[at]
+            off = slope(weights, bias, at, value, posteriors[i])
+            step = off * value + decay * weights[at]
             grown[at] += step**2
             weights[at] -= rate * step / np.sqrt(grown[at])
-            grown_bias += slope**2
-            bias -= rate * slope / math.sqrt(grown_bias)
+            grown_bias += off**2
+            bias -= rate * off / math.sqrt(grown_bias)
     return Scorer(weights, bias)
 
 
@@ -226,11 +239,11 @@ class QualityModel:
     scorer: Scorer
 
     def judge(self, text: str) -> tuple[int, float, float]:
-        """(vote code, posterior by the labellers, final score)."""
-        code = votes(text)
+        """(vote code, posterior by the labellers, score by the scorer)."""
+        code, at, value = measure(text, len(self.scorer.weights))
         a = max(-12.0, min(12.0, self.labels.log_odds(code)))
-        b = max(-12.0, min(12.0, self.scorer.log_odds(text)))
-        return code, 1 / (1 + math.exp(-a)), 1 / (1 + math.exp(-(a + b) / 2))
+        b = max(-12.0, min(12.0, self.scorer.log_odds(at, value)))
+        return code, 1 / (1 + math.exp(-a)), 1 / (1 + math.exp(-b))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sample: int = SAMPLE, buckets: int = BUCKETS) -> QualityModel:
@@ -238,11 +251,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, samp
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
     def vote(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([votes(x) for x in texts_of(batch.column(1))], pa.int64())], ["doc_id", "code"]
-        )
+        codes = [votes(facts(x, x.split())) for x in texts_of(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.int64())], ["doc_id", "code"])
 
-    voted = cut(map_arrow(rows, vote, "doc_id long, code long"))
+    # At most 3 to the number of labellers rows reach the driver, one for each pattern.
+    voted = map_arrow(rows, vote, "doc_id long, code long")
     patterns = {r["code"]: r["n"] for r in voted.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
     labels = estimate(patterns)
     n = sum(patterns.values())
@@ -250,15 +263,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, samp
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [features(x, buckets) for x in texts_of(batch.column(1))]
-        codes = [votes(x) for x in texts_of(batch.column(1))]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(codes, pa.int64()), pa.array([a for a, _ in out], pa.list_(pa.int64())), pa.array([v.astype(np.float32) for _, v in out], pa.list_(pa.float32()))],
-            ["doc_id", "code", "at", "value"],
-        )
+        out = [measure(x, buckets) for x in texts_of(batch.column(1))]
+        at, value = pa.array([a for _, a, _ in out], pa.list_(pa.int64())), pa.array([v.astype(np.float32) for _, _, v in out], pa.list_(pa.float32()))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([c for c, _, _ in out], pa.int64()), at, value], ["doc_id", "code", "at", "value"])
 
     described = map_arrow(rows.where(pick), describe, "doc_id long, code long, at array<long>, value array<float>")
-    taken = described.orderBy(F.xxhash64("doc_id"), "doc_id", "code").limit(sample).toArrow()
+    described = cut(described.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "code").limit(sample))
+    sizes = described.select("h", F.size("at").alias("n")).orderBy("h").toArrow()
+    held = np.cumsum(sizes.column("n").to_numpy())
+    fits = int(np.searchsorted(held, MAX_FEATURES, "right"))
+    if fits < len(held):
+        described = described.where(F.col("h") < int(sizes.column("h")[fits].as_py()))
+    taken = described.orderBy("h", "doc_id", "code").toArrow()
     examples = [
         (np.asarray(a.values), np.asarray(v.values, np.float64)) for a, v in zip(taken.column("at"), taken.column("value"), strict=True)
     ]

@@ -1,5 +1,8 @@
 import math
+import os
 import random
+import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -41,8 +44,6 @@ PAGE_ROWS = [
 
 
 def brute_urls(rows, rules, damping=0.85, rounds=10, least=0.01):
-    import re
-
     parts, links, per = [], Counter(), {}
     for _, url, html in rows:
         rest = url.split("://", 1)[1] if url and "://" in url else ""
@@ -78,9 +79,15 @@ def brute_urls(rows, rules, damping=0.85, rounds=10, least=0.01):
             state = new
         mass[kind] = state
     one = 1 / max(1, sum(k == "block" for k in seeds.values()))
+    into = Counter()
+    for (_, b), w in links.items():
+        into[b] += w
+    taken = Counter()
+    for (a, b), w in links.items():
+        taken[a] += w / into[b]
     out = []
     for (i, _, _), (host, path, rule) in zip(rows, parts, strict=True):
-        bad = mass["block"].get(host, 0) >= least * one and mass["block"].get(host, 0) > mass["allow"].get(host, 0)
+        bad = mass["block"].get(host, 0) > 0 and mass["block"][host] >= least * one * min(1, taken[host]) and mass["block"].get(host, 0) > mass["allow"].get(host, 0)
         out.append((i, host, path, rule.text if rule else None, rule.action if rule else "block" if bad else "allow"))
     return sorted(out, key=repr)
 
@@ -97,6 +104,24 @@ def test_urls_against_brute_force_and_sql(spark):
     assert sorted(con.execute(ORACLE_SQL["op1_url_filter"]).fetchall(), key=repr) == want
 
 
+def test_a_hub_of_hundreds_of_linkers(spark):
+    """Hosts that link to a blocked hub alone are blocked, however many they are."""
+    rows = [(0, "https://hub.net/", "")] + [(i, f"https://l{i}.info/", link("hub.net")) for i in range(1, 401)]
+    rows += [(1000 + i, f"https://c{i}.info/", link("fine.info")) for i in range(50)]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(spark.createDataFrame(rows, PAGES), RULES).collect()}
+    assert got == {i: "block" if i <= 400 else "allow" for i, _, _ in rows}
+
+
+def test_many_rules_are_joined(spark):
+    rng = random.Random(4)
+    hosts = ["net", "a.net", "b.a.net", "com", "x.com", "org", "é.org"]
+    rules = [Rule.parse(f"{rng.choice(hosts)}/{rng.choice(['', 'a', 'a/', 'a/b', 'c'])}", rng.choice(["allow", "block"])) for _ in range(40)]
+    urls = spark.createDataFrame([(rng.choice(["net", "a.net", "c.b.a.net", "xnet", "y.x.com", "com", "", "é.org", "."]), rng.choice(["", "/", "/a", "/a/b/c", "/c?"])) for _ in range(300)], "host string, path string")
+    few = url_filter.with_rules(urls, rules).select("host", "path", "rule").collect()
+    many = url_filter.with_rules(urls, rules, expression_rules=0).select("host", "path", "rule").collect()
+    assert sorted(map(tuple, few), key=repr) == sorted(map(tuple, many), key=repr) and any(r["rule"] for r in few)
+
+
 def test_no_pages_and_no_rules(spark):
     empty = spark.createDataFrame([], PAGES)
     assert url_filter.judge_urls(empty, RULES).collect() == []
@@ -105,6 +130,47 @@ def test_no_pages_and_no_rules(spark):
         Rule.parse("net/", "maybe")
 
 
+@pytest.mark.parametrize("width", [60, 72, 80, 100, 10**6])
+def test_wrapped_licences(spark, documents, width):
+    """Whole licences at any width, with and without headers, are what they are unwrapped."""
+
+    def wrapped(text):
+        return "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+
+    headers = ["", "Copyright (c) 2020 Somebody\n\n", "Copyright 2019-2021 A, B and C\nAll rights reserved.\n\n", "(c) 2011 Else\n© Third\n\n"]
+    whole = [(i, t) for i, t in license_scan.KNOWN if len(t) > 200]
+    rows = [(100 * n + k, h + wrapped(t)) for n, (_, t) in enumerate(whole) for k, h in enumerate(headers)]
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(documents(rows), license_scan.registry(spark)).collect()}
+    assert got == {100 * n + k: i for n, (i, _) in enumerate(whole) for k in range(len(headers))}
+
+
+def test_known_digests_are_those_of_public_texts(spark, documents):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    files = {i: f"/usr/share/common-licenses/{f}" for i, f in files.items()}
+    found = [(n, i, open(f, encoding="utf-8").read()) for n, (i, f) in enumerate(files.items()) if os.path.exists(f)]
+    if not found:
+        pytest.skip("no licence texts on this machine")
+    rows = [(n, t) for n, _, t in found] + [(100 + n, re.sub(r"\bLICENSE\b", "LICENCE", t.upper())) for n, _, t in found] + [(200 + n, t + " more") for n, _, t in found]
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(documents(rows), license_scan.registry(spark)).collect()}
+    assert got == {n: i for n, i, _ in found} | {100 + n: i for n, i, _ in found} | {200 + n: None for n, _, _ in found}
+
+
+def test_spellings_count_as_whole_words(spark, documents):
+    texts = ["the programmer labours", "licence licence  LICENCE,licence", "unfavourable favour", "sublicence"]
+    forms = [r[0] for r in documents(list(enumerate(texts)), 1).orderBy("doc_id").select(license_scan.canonical(F.col("text"))).collect()]
+    assert forms == ["the programmer labours", "license license license license", "unfavourable favor", "sublicence"]
+
+
+def test_a_large_registry_finds_the_same(spark, documents, monkeypatch):
+    rows = [(1, "prose\nReleased under the MIT License.\nReleased under the MIT License."), (2, "Licensed under CC BY 4.0."), (3, None), (None, "x\nLicensed under CC BY 4.0."), (None, "x\nLicensed under CC BY 4.0.")]
+    few = license_scan.scan(documents(rows), license_scan.registry(spark)).collect()
+    monkeypatch.setattr(license_scan, "LITERALS", 1)
+    monkeypatch.setattr(license_scan, "BROADCAST_LICENSES", 1)
+    many = license_scan.scan(documents(rows), license_scan.registry(spark)).collect()
+    assert sorted(map(tuple, many), key=repr) == sorted(map(tuple, few), key=repr)
+    assert {(r["doc_id"], r["n_notices"], r["notices"]) for r in few} == {(1, 2, "MIT"), (2, 0, ""), (3, 0, ""), (None, 1, "CC-BY-4.0")}
+
+
 def test_license_forms(spark, documents):
     mit = license_scan.KNOWN[1][1]
     variants = [mit, mit.upper(), "Copyright (c) 2020 Somebody\n\n" + mit.replace("\n\n", "\n"), mit.replace('"', "“").replace("Software", "SOFTWARE"), mit + "\n\n© 2024 Else"]
@@ -151,6 +217,58 @@ def test_the_label_model_finds_who_is_right():
     assert weak_quality.estimate({}).log_odds(0) < 0
 
 
+def test_estimation_against_row_by_row_steps():
+    """The same steps over rows instead of patterns, in plain loops."""
+    rng = random.Random(12)
+    k = len(weak_quality.LABELLERS)
+    rows = [[rng.choice([0, 2, 1, 2]) if rng.random() < 0.3 else 2 for _ in range(k)] for _ in range(60)]
+    codes = Counter(int("".join(map(str, r)), 3) for r in rows)
+    low = [[0.01] * k] + [[0.9 if a == b else 0.1 for b in range(k)] for a in range(k)]
+    first, shares = [list(x) for x in low], [0.85] + [0.15 / k] * k
+    for _ in range(5):
+        held = []
+        for r in rows:
+            p = [s * math.prod(1 if v == 1 else x if v == 0 else 1 - x for v, x in zip(r, lows, strict=True)) for s, lows in zip(shares, low, strict=True)]
+            held.append([x / sum(p) for x in p])
+        mass = [sum(h[c] for h in held) for c in range(k + 1)]
+        shares = [(m + 1) / (len(rows) + k + 1) for m in mass]
+        for c in range(k + 1):
+            pseudo = 2 + weak_quality.ASSUMED * (len(rows) if c == 0 else mass[c])
+            for j in range(k):
+                bad = sum(h[c] for h, r in zip(held, rows, strict=True) if r[j] == 0) + pseudo * first[c][j]
+                fine = sum(h[c] for h, r in zip(held, rows, strict=True) if r[j] == 2) + pseudo * (1 - first[c][j])
+                low[c][j] = bad / (bad + fine)
+    model = weak_quality.estimate(codes, rounds=5)
+    assert np.allclose(model.shares, shares) and np.allclose(model.table[:, :, 0], low)
+
+
+def test_the_scorer_steps_down_the_slope():
+    rng = np.random.default_rng(1)
+    weights, at, value = rng.normal(size=20), np.array([3, 7, 11]), np.array([0.6, -0.3, 0.74])
+
+    def loss(w, b, target):
+        p = 1 / (1 + math.exp(-(float(w[at] @ value) + b)))
+        return -target * math.log(p) - (1 - target) * math.log(1 - p)
+
+    for target in (0.0, 0.3, 1.0):
+        off = weak_quality.slope(weights, 0.2, at, value, target)
+        for n, v in zip(at.tolist(), value.tolist(), strict=True):
+            moved = weights.copy()
+            moved[n] += 1e-6
+            assert math.isclose((loss(moved, 0.2, target) - loss(weights, 0.2, target)) / 1e-6, off * v, abs_tol=1e-4)
+    rows = [(np.array([0, 2]), np.array([0.8, 0.6])), (np.array([1, 2]), np.array([0.8, 0.6]))] * 30
+    scorer = weak_quality.train(rows, np.array([1.0, 0.0] * 30), buckets=4)
+    assert scorer.log_odds(*rows[0]) > 1 and scorer.log_odds(*rows[1]) < -1
+
+
+def test_long_repetitive_texts_are_judged():
+    phrase = ["one", "two", "three"]
+    name = list(weak_quality.LABELLERS).index("diversity")
+    for n in (3999, 4001, 12_000):
+        code, _, _ = weak_quality.measure(" ".join((phrase * n)[:n]))
+        assert weak_quality.digits(code)[name] == weak_quality.LOW
+
+
 def bad_text(rng, kind):
     words = prose(rng, 80).split()
     if kind == 0:
@@ -186,15 +304,64 @@ def test_block_max_search_is_exact():
         w /= np.sqrt((w**2).sum())
         vectors.append(dict(zip(terms.tolist(), w.tolist(), strict=True)))
     vectors[10] = dict(vectors[3])  # a tie
-    for block in (1, 7, 64, 1000):
-        index = toxicity.BlockMaxIndex(vectors, 40, block)
+    held = [(np.array(sorted(v)), np.array([v[t] for t in sorted(v)])) for v in vectors]
+    for block, long_share in ((1, 0.1), (7, 0.2), (64, 0.0), (64, 1.0), (1000, 0.15)):
+        index = toxicity.BlockMaxIndex(held, 40, block, long_share)
         for q in (0, 3, 77, 299):
             exact = sorted(((sum(w * v.get(t, 0) for t, w in vectors[q].items()), i) for i, v in enumerate(vectors)), key=lambda x: (-round(x[0], 9), x[1]))
             for k in (1, 5, 50):
-                got = index.nearest(vectors[q], k)
+                got = index.nearest(held[q], k)
                 want = [(c, i) for c, i in exact if c > 0][:k]
                 assert [round(c, 9) for c, _ in got] == [round(c, 9) for c, _ in want]
-            assert q not in [i for _, i in index.nearest(vectors[q], 5, skip=q)]
+            assert q not in [i for _, i in index.nearest(held[q], 5, skip=q)]
+
+
+def brute_toxicity(examples, text, k):
+    """Cosines of whole TF-IDF vectors against every example, then votes and calibration apart."""
+    n, n_toxic = len(examples), sum(y for *_, y in examples)
+    counted = [toxicity.terms(t) for _, t, _ in examples]
+    rows, toxic = Counter(), Counter()
+    for c, (*_, y) in zip(counted, examples, strict=True):
+        rows.update(c.keys())
+        toxic.update(c.keys() if y else ())
+
+    def weight(t):
+        idf, gain = math.log((n + 2) / (rows[t] + 1)), 0.0
+        for seen, all_of in ((toxic[t], n_toxic), (rows[t] - toxic[t], n - n_toxic)):
+            gain += 2 * seen * math.log(seen * n / (rows[t] * all_of)) if seen else 0.0
+        return idf * (1 + math.sqrt(max(gain, 0.0)))
+
+    def unit(c):
+        raw = {t: (1 + math.log(m)) * weight(t) for t, m in c.items() if rows[t]}
+        norm = math.sqrt(sum(w * w for w in raw.values()))
+        return {t: w / norm for t, w in raw.items()}
+
+    q = unit(toxicity.terms(text))
+    found = []
+    for (i, _, y), c in zip(examples, counted, strict=True):
+        e = unit(c)
+        cosine = sum(w * e.get(t, 0.0) for t, w in q.items())
+        if cosine > 0:
+            found.append((cosine, i, y))
+    found.sort(key=lambda x: (-round(x[0], 10), x[1]))
+    near = found[:k]
+    cast = [1 / (1.02 - min(c, 1.0)) for c, _, _ in near]
+    return near, (sum(w for w, (*_, y) in zip(cast, near, strict=True) if y) + n_toxic / n) / (sum(cast) + 1)
+
+
+def test_toxicity_against_brute_force():
+    rng = random.Random(9)
+    examples = [(i, prose(rng, rng.randrange(3, 60)) + (" grobnak" if i % 5 == 0 else ""), i % 5 == 0) for i in range(120)]
+    examples += [(500, "", False), (501, "solitary", True)]
+    model = toxicity.fit_examples(examples)
+    for text in [prose(rng, n) for n in (1, 4, 30, 400)] + ["grobnak grobnaks marble", "solitary unknown", "The Of " * 50]:
+        score, near = model.score(text)
+        want, raw = brute_toxicity(examples, text, model.neighbours)
+        assert near and [(model.ids[i], bool(model.labels[i])) for _, i in near] == [(i, y) for _, i, y in want]
+        assert all(math.isclose(c, w, abs_tol=1e-9) for (c, _), (w, _, _) in zip(near, want, strict=True))
+        assert math.isclose(model.vote(near), raw, abs_tol=1e-9)
+        assert math.isclose(score, float(np.interp(raw, model.knots, model.values)), abs_tol=1e-9)
+    assert model.score("") == (model.bare, []) and model.score("zzz 12") == (model.bare, [])
 
 
 def test_toxicity_on_held_out_rows(spark, documents):
