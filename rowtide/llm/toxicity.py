@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, keep_rows, map_arrow, text_or_empty, texts_of
 
-MAX_EXAMPLES = 4_000
+MAX_EXAMPLES = 3_000
 MAX_BYTES = 64 << 20
 NEIGHBOURS = 16
 STEM = 5
@@ -102,8 +102,9 @@ class BlockMaxIndex:
         order = np.lexsort((place[row[~is_long]], term[~is_long]))
         self.places = place[row[~is_long]][order]
         self.weights = weight[~is_long][order]
-        self.first = np.searchsorted(term[~is_long][order], np.arange(n_terms + 1))
-        self.place = place
+        first = np.searchsorted(term[~is_long][order], np.arange(n_terms + 1))
+        self.first, self.size = first[:-1].copy(), np.diff(first)
+        self.count = np.arange(len(self.places))
 
     def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The k largest positive cosines as (cosine, row), ties to the smaller row."""
@@ -114,17 +115,19 @@ class BlockMaxIndex:
         short = long < 0
         score = np.zeros(self.n_blocks * self.block)
         if short.any():
-            start, stop = self.first[term[short]], self.first[term[short] + 1]
-            lists = list(map(slice, start.tolist(), stop.tolist()))
-            part = np.concatenate([self.weights[x] for x in lists])
-            part *= np.repeat(weight[short], stop - start)
-            score = np.bincount(np.concatenate([self.places[x] for x in lists]), part, minlength=len(score))
+            start, size = self.first[term[short]], self.size[term[short]]
+            # The places of all postings of these lists, one list behind the other.
+            at = (start - np.cumsum(size) + size).repeat(size)
+            at += self.count[: len(at)]
+            part = self.weights.take(at)
+            part *= weight[short].repeat(size)
+            score = np.bincount(self.places.take(at), part, minlength=len(score))
         score = score.reshape(self.n_blocks, self.block)
         long, held = long[~short], weight[~short]
         bound = score.max(axis=1) + held @ self.top[long]
         order = np.argsort(-bound, kind="stable")
         found, rows, least, at = np.empty(0), np.empty(0, np.int64), 0.0, 0
-        step = -(-k // self.block) + 1
+        step = -(-k // self.block) + self.n_blocks // 12 + 1
         while at < self.n_blocks:
             some = order[at : at + step]
             some = some[bound[some] >= max(least - 1e-12, 1e-300)]
@@ -143,11 +146,27 @@ class BlockMaxIndex:
             if len(found) == k:
                 least = float(found.min())
             at += step
-            step *= 4
+            step = self.n_blocks
         best = np.lexsort((rows, -found))[:k]
         return list(zip(found[best].tolist(), rows[best].tolist(), strict=True))
 
 
+class _Known(dict):
+    """Word to the numbers of its terms, -1 for none, worked out when first asked for."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> tuple[int, int]:
+        of = self.vocabulary.get
+        self[word] = found = (of(word, -1), of(word[:STEM] + "*", -1) if len(word) > STEM else -1)
+        return found
+
+    def __reduce__(self):
+        return _Known, (self.vocabulary,)
+
+
 @dataclass
 class Model:
     vocabulary: dict[str, int]
@@ -160,22 +179,20 @@ class Model:
     knots: np.ndarray
     values: np.ndarray
     neighbours: int = NEIGHBOURS
-    known: dict[str, tuple[int, int]] = field(default_factory=dict)
+    known: dict[str, tuple[int, int]] = field(init=False, repr=False)
 
-    def _terms_of(self, word: str) -> tuple[int, int]:
-        return self.vocabulary.get(word, -1), self.vocabulary.get(word[:STEM] + "*", -1) if len(word) > STEM else -1
+    def __post_init__(self):
+        self.known = _Known(self.vocabulary)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ascending term numbers and weights of unit length; terms of no example weigh nothing."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
         words = Counter(_WORD.findall(text.lower()))
-        for w in [x for x in words if x not in known]:
-            known[w] = self._terms_of(w)
-        held = np.fromiter(chain.from_iterable([known[w] for w in words]), np.int64, 2 * len(words))
-        times = np.repeat(np.fromiter(words.values(), np.float64, len(words)), 2)
-        return weigh(held[held >= 0], times[held >= 0], self.weight)
+        held = np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.int64, 2 * len(words))
+        times = np.fromiter(words.values(), np.float64, len(words)).repeat(2)
+        there = held >= 0
+        return weigh(held[there], times[there], self.weight)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Distance-weighted share of toxic neighbours, drawn a little to the prior."""
