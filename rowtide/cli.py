@@ -94,7 +94,13 @@ def watch(a: argparse.Namespace, spark: SparkSession, now: datetime) -> int:
         collector = Collector(store, f=filter_from({"tables": a.tables}), read_only=split_list(a.generated))
         trigger = {"availableNow": True} if a.once else {"processingTime": "5 seconds"}
         start = lambda: collector.start(read_stream(spark, a.log), os.path.join(a.store, "stream"), **trigger)
-        keep_running(start, between=lambda: store.prune(datetime.now(UTC)))
+
+        def upkeep() -> None:
+            store.prune(datetime.now(UTC))
+            store.compact()
+            store.vacuum()
+
+        keep_running(start, between=upkeep)
     return 0
 
 

@@ -13,7 +13,11 @@ from ..model import SCHEMA_CHANGE
 
 
 class Refused(Exception):
-    """The question cannot be answered completely; the message says why."""
+    """The question cannot be answered completely; the message says why, ``rule`` in a word."""
+
+    def __init__(self, message: str, rule: str = ""):
+        super().__init__(message)
+        self.rule = rule
 
 
 class BadRequest(Refused):

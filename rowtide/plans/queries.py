@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -21,7 +22,7 @@ from ..operators.timeline import detail, timeline
 from ..sources.fixture import FLAT_SQL, changes, flat_changes, lift
 from ..sources.server import REQUIRED, failing_settings
 from ..streaming.collector import Collector, read_stream
-from .coverage import RETENTION, containing, earliest, is_stale, overlapping
+from .coverage import RETENTION, containing, is_stale, overlapping
 from .script import block, schema_change_lines, script_frame
 from .store import ChangeStore, undelivered
 
@@ -324,13 +325,6 @@ def dedup_redelivery(spark, sf_dir):
     return undelivered(delivered, stored, ["change_id"]).select("change_id", "txn_id")
 
 
-@query("SELECT strftime(min(ev_at), '%Y-%m-%d %H:%M:%S') AS covered_from, strftime(greatest(TIMESTAMP '2024-01-02 00:00:00', max(ev_at)), '%Y-%m-%d %H:%M:%S') AS covered_to FROM c")
-def coverage_bounds(spark, sf_dir):
-    high = F.greatest(F.lit(datetime(2024, 1, 2, tzinfo=UTC)), F.max("committed_at"))
-    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    return changes(spark, sf_dir).agg(text(earliest()).alias("covered_from"), text(high).alias("covered_to"))
-
-
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes(spark, sf_dir).groupBy(F.date_format("committed_at", "yyyy-MM-dd HH").alias("hour")).agg(F.min("committed_at").alias("start"), F.max("committed_at").alias("end"))
 
@@ -358,25 +352,6 @@ def staleness(spark, sf_dir):
     return flat.where("later is not null").select("change_id", is_stale(F.col("ev_at"), F.col("later"), 300).alias("stale"))
 
 
-@query("SELECT change_id, txn_id FROM c JOIN (SELECT txn_id FROM c GROUP BY txn_id HAVING max(ev_at) >= TIMESTAMP '2024-01-15 00:00:00') USING (txn_id)")
-def prune_retention(spark, sf_dir):
-    rows = changes(spark, sf_dir)
-    kept = rows.groupBy("txn_id").agg(F.max("committed_at").alias("m")).where(F.col("m") >= F.lit(datetime(2024, 1, 15, tzinfo=UTC)))
-    return rows.join(kept.select("txn_id"), "txn_id", "left_semi").select("change_id", "txn_id")
-
-
-@query("SELECT DISTINCT CAST(FLOOR(event_id / 4) AS BIGINT) AS txn_id FROM events WHERE CAST(FLOOR(event_id / 4) AS BIGINT) NOT IN (SELECT txn_id FROM c WHERE op <> 2)")
-def integrity_rowless(spark, sf_dir):
-    txns = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.floor(F.col("event_id") / 4).cast("long").alias("txn_id")).distinct()
-    return txns.join(changes(spark, sf_dir).where("op <> 2").select("txn_id"), "txn_id", "left_anti")
-
-
-@query("SELECT table_name, TIMESTAMP '2024-01-30 23:50:00' > coalesce(max(ev_at), TIMESTAMP '2024-01-30 23:50:00') AS ahead FROM c GROUP BY table_name")
-def checkpoint_ahead(spark, sf_dir):
-    at = F.lit(datetime(2024, 1, 30, 23, 50, tzinfo=UTC))
-    return changes(spark, sf_dir).groupBy("table_name").agg((at > F.coalesce(F.max("committed_at"), at)).alias("ahead"))
-
-
 _BLOCK = f"""concat_ws(chr(10), '', '-- undo ' || CASE op WHEN 1 THEN 'INSERT' WHEN 2 THEN 'UPDATE' ELSE 'DELETE' END || ' shop.' || table_name || ' — ' || log_file || ':' || log_pos ||
   ' at ' || strftime(ev_at, '%Y-%m-%d %H:%M:%S') || ' UTC', CASE WHEN change_id % 5 <> 0 THEN '-- caused by: UPDATE row ' || id END, {_ANY})"""
 
@@ -407,7 +382,10 @@ def script_text(spark, sf_dir):
 
 def _scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowtide-store-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        warnings.warn("spark.checkpoint.dir is not set; using a folder of this machine, which no cluster shares", stacklevel=2)
+        shared = tempfile.mkdtemp(prefix="rowtide-store-")
     return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
@@ -477,3 +455,6 @@ def required_settings(spark, sf_dir):
     assert len(REQUIRED) == 3
     reported = spark.createDataFrame([("binlog_format", "row"), ("binlog_row_image", "MINIMAL")], "name string, value string")
     return failing_settings(reported)
+
+
+from . import store_queries  # noqa: E402, F401  (adds its queries to the tables above)

@@ -2,15 +2,20 @@
 
 A version is one JSON file that names every data folder it consists of; publishing is
 the rename of a complete file to a name that must not exist, so readers see a version
-whole or not at all, and a reader that resolved one keeps reading it.  Rows carry their
-transaction's columns, so a scan joins nothing; each folder keeps its range of ids and
-commit times, so cursors, bounds and pruning skip folders before they skip row groups.
-All file access goes through Spark's file systems.
+whole or not at all, and a reader that resolved one keeps reading it until ``vacuum``, after
+a time of grace, deletes what no kept version names.  Rows carry their transaction's columns,
+so a scan joins nothing; each folder keeps its range of ids and commit times, so cursors,
+bounds, pruning and the search for transactions delivered twice skip folders before they skip
+row groups.  Missed changes are rows too; the manifest holds their number and range.
+``compact`` merges the small folders of many appends.  All file access goes through Spark's
+file systems; intermediate data lies in ``spark.checkpoint.dir``, or in the store's own
+folder, which driver and executors share.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
@@ -21,26 +26,40 @@ from pyspark.sql import functions as F
 from ..functions.predicates import Filter, Refused, matches
 from ..functions.values import unrenderable
 from ..model import CHANGE, CHANGE_COLUMNS, SCHEMA_CHANGE
-from .coverage import MAX_STALENESS, Binding, Coverage, Gap, Miss, Report, check, integrity_problems
+from .coverage import MAX_STALENESS, Binding, Coverage, Gap, Miss, Report, bounds, check, integrity_problems
 
 SCHEMA_VERSION = 1
 DEFAULT_PAGE, MAX_PAGE = 100, 1000
 #: Steps from each layout to the next; none yet.
 MIGRATIONS: dict[int, object] = {}
+STALE_CLAIM = 60
+#: Readers of an older version may go on for so long.
+GRACE = timedelta(hours=1)
+#: Folders of fewer rows are merged once there are more than so many of them.
+SMALL_FOLDER, SMALL_FOLDERS = 1_000_000, 16
+MISS_SCHEMA = "moment timestamp, reason string"
 
 
 def page_limit(limit: int) -> int:
     return DEFAULT_PAGE if limit <= 0 else min(limit, MAX_PAGE)
 
 
-def contiguous_ids(rows: DataFrame, order: list[str], name: str, base: int) -> DataFrame:
+def settled(df: DataFrame, root: str) -> DataFrame:
+    """``df`` written once, so that every later use sees the same rows in the same places."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{root}/scratch")
+    return df.checkpoint(eager=True)
+
+
+def contiguous_ids(rows: DataFrame, order: list[str], name: str, base: int, root: str) -> DataFrame:
     """Number rows base+1, base+2, ... in ``order`` without passing them through one task.
 
-    Rows are range-partitioned; the offsets of the partitions (one number each) are summed
-    on the driver.  ``order`` must be total for the numbers to be repeatable.
+    Rows are range-partitioned and written with their places; the offsets of the partitions
+    (one number each) are summed on the driver.  ``order`` must be total for the numbers to
+    be repeatable.
     """
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    placed = placed.persist()
+    placed = settled(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), root)
     part = F.shiftright("__at", 33)
     sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     starts, total = {}, base
@@ -86,17 +105,41 @@ class _Files:
             stream.close()
 
     def create(self, name: str, text: str) -> bool:
-        """Write a whole file under ``name``; false if that name is taken."""
+        """Write a whole file under ``name``; false if that name is taken.
+
+        A claim file, created only if it is not there, says who may rename the finished
+        draft; a claim left by a writer that died is dropped after ``STALE_CLAIM`` seconds.
+        """
+        target, claim = self._at(name), self._at(f"{name}.claim")
+        if self.fs.exists(target):
+            return False
+        try:
+            self.fs.create(claim, False).close()
+        except Exception as e:
+            if "FileAlreadyExists" not in str(e) and "already exists" not in str(e):
+                raise
+            if not self.fs.exists(target) and self.fs.exists(claim) and time.time() - self.fs.getFileStatus(claim).getModificationTime() / 1000 > STALE_CLAIM:
+                self.fs.delete(claim, False)
+            return False
         draft = self._at(f"{name}.draft-{uuid.uuid4().hex}")
         stream = self.fs.create(draft, False)
         stream.write(bytearray(text.encode("utf-8")))
         stream.close()
-        target = self._at(name)
         done = not self.fs.exists(target) and self.fs.rename(draft, target)
         if not done:
             self.fs.delete(draft, False)
+        self.fs.delete(claim, False)
         return bool(done)
 
+    def older(self, folder: str, age: timedelta) -> list[str]:
+        """Names in ``folder`` that nobody has touched for ``age``."""
+        at = self._at(folder)
+        found = self.fs.listStatus(at) if self.fs.exists(at) else []
+        return [x.getPath().getName() for x in found if time.time() - x.getModificationTime() / 1000 >= age.total_seconds()]
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self._at(name), True)
+
     def exists(self) -> bool:
         return self.fs.exists(self.path)
 
@@ -111,7 +154,7 @@ def _moment(seconds: int | None) -> datetime | None:
 
 EMPTY = {
     "schema_version": SCHEMA_VERSION, "folders": [], "txns": 0, "changes": 0, "coverage_from": None, "coverage_to": None,
-    "max_staleness": int(MAX_STALENESS.total_seconds()), "retention": 0, "binding": None, "checkpoint": None, "gaps": [], "misses": [], "batches": {},
+    "max_staleness": int(MAX_STALENESS.total_seconds()), "retention": 0, "binding": None, "checkpoint": None, "gaps": [], "misses": [], "missed_from": None, "batches": {},
 }
 
 
@@ -133,9 +176,22 @@ class Snapshot:
     def gaps(self) -> list[Gap]:
         return [Gap(_moment(g["start"]), _moment(g["end"]), g["reason"]) for g in sorted(self.manifest["gaps"], key=lambda g: g["start"])]
 
+    def missed(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+        """(moment, reason) of changes that were seen and could not be recorded, bounds included."""
+        a, b = _seconds(start), _seconds(end)
+        since = max((x for x in (a, self.manifest["missed_from"]) if x is not None), default=None)
+        folders = [x["name"] for x in self.manifest["misses"] if (since is None or x["last"] >= since) and (b is None or x["first"] <= b)]
+        if not folders:
+            return self.spark.createDataFrame([], MISS_SCHEMA)
+        rows = self.spark.read.schema(MISS_SCHEMA).parquet(*[f"{self.root}/{n}" for n in folders])
+        moment = F.unix_seconds("moment")
+        rows = rows if since is None else rows.where(moment >= since)
+        return rows if b is None else rows.where(moment <= b)
+
     @property
     def misses(self) -> list[Miss]:
-        return [Miss(_moment(m["moment"]), m["reason"]) for m in sorted(self.manifest["misses"], key=lambda m: m["moment"])]
+        found = self.missed().select(F.unix_seconds("moment").alias("t"), "reason").orderBy("t", "reason").collect()
+        return [Miss(_moment(r["t"]), r["reason"]) for r in found]
 
     @property
     def binding(self) -> Binding | None:
@@ -159,11 +215,19 @@ class Snapshot:
         rows = self._read("changes", folders).where(matches(f))
         return rows.where(F.col("change_id") < before) if before else rows
 
-    def txns(self) -> DataFrame:
-        return self._read("txns", self.manifest["folders"])
+    def txns(self, first: int | None = None, last: int | None = None) -> DataFrame:
+        """Recorded transactions, of folders whose commit times meet ``first`` to ``last``."""
+        folders = self.manifest["folders"]
+        if first is not None and last is not None:
+            folders = [x for x in folders if x["last_at"] >= first and x["first_at"] <= last]
+        return self._read("txns", folders)
 
     def gate(self, f: Filter, now: datetime) -> None:
-        check(self.coverage, f, now, self.gaps, self.misses)
+        """Refuse a window that is not covered whole; of the misses in it one row is read."""
+        check(self.coverage, f, now, self.gaps)
+        start, end = bounds(self.coverage, f)
+        first = self.missed(start, end).select(F.unix_seconds("moment").alias("t"), "reason").orderBy("t", "reason").limit(1).collect()
+        check(self.coverage, f, now, self.gaps, [Miss(_moment(r["t"]), r["reason"]) for r in first])
 
     def events(self, f: Filter | None = None, now: datetime | None = None) -> DataFrame:
         """Oldest first, behind the gate."""
@@ -262,7 +326,17 @@ class ChangeStore:
         self._publish(lambda m: m["gaps"].append({"start": _seconds(start), "end": _seconds(end), "reason": reason}))
 
     def record_misses(self, misses: list[Miss]) -> None:
-        self._publish(lambda m: m["misses"].extend({"moment": _seconds(x.moment), "reason": x.reason} for x in misses) if misses else False)
+        if misses:
+            held = self._miss_folder(self.spark.createDataFrame([(x.moment, x.reason) for x in misses], MISS_SCHEMA))
+            self._publish(lambda m: m["misses"].append(held))
+
+    def _miss_folder(self, misses: DataFrame) -> dict | None:
+        """Write missed changes; what the manifest holds of them."""
+        name = f"misses/{uuid.uuid4().hex}"
+        misses.select("moment", "reason").write.parquet(f"{self.root}/{name}")
+        t = F.unix_seconds("moment")
+        facts = self.spark.read.schema(MISS_SCHEMA).parquet(f"{self.root}/{name}").agg(F.count(F.lit(1)).alias("n"), F.min(t).alias("a"), F.max(t).alias("b")).first()
+        return {"name": name, "n": facts["n"], "first": facts["a"], "last": facts["b"]} if facts["n"] else None
 
     # Rows
 
@@ -272,22 +346,23 @@ class ChangeStore:
         *,
         order: list[str],
         checkpoint: dict | None = None,
-        misses: list[Miss] = (),
+        misses: DataFrame | None = None,
         reached: datetime | None = None,
         batch: tuple[str, int] | None = None,
     ) -> Snapshot:
         """Store transactions (``changes`` rows share source_txn_id, committed_at, server_id).
 
         One publication holds transactions, rows, misses, checkpoint and coverage.  A
-        transaction already stored, by (source_txn_id, is schema change), is left out;
-        a batch already published is a no-op; a value that no literal can express
+        transaction already stored, by (source_txn_id, is schema change), is left out: it
+        bears its commit time again, so only folders of that time are searched; a batch already published is a no-op; a value that no literal can express
         rejects its batch before anything is written.  ``order`` is the log's order.
         """
         at = self.snapshot()
         if batch and at.manifest["batches"].get(batch[0], -1) >= batch[1]:
             return at
         keyed = changes.withColumn("is_ddl", F.col("op") == SCHEMA_CHANGE)
-        fresh = undelivered(keyed, at.txns(), order).persist()
+        span = keyed.agg(F.unix_seconds(F.min("committed_at")).alias("a"), F.unix_seconds(F.max("committed_at")).alias("b")).first()
+        fresh = undelivered(keyed, at.txns(span["a"], span["b"]), order).persist()
         try:
             return self._append(at, fresh, order, checkpoint, misses, reached, batch)
         finally:
@@ -302,9 +377,9 @@ class ChangeStore:
         heads = fresh.groupBy(*key).agg(
             F.min(F.struct(*order)).alias("__first"), F.max("committed_at").alias("committed_at"), F.max("server_id").alias("server_id")
         )
-        txns = contiguous_ids(heads, ["__first", *key], "txn_id", at.manifest["txns"])
+        txns = contiguous_ids(heads, ["__first", *key], "txn_id", at.manifest["txns"], self.root)
         rows = fresh.drop("txn_id", "change_id", "committed_at", "server_id").join(txns.select(*key, "txn_id", "committed_at", "server_id"), key)
-        rows = contiguous_ids(rows, ["txn_id", *order], "change_id", at.manifest["changes"])
+        rows = contiguous_ids(rows, ["txn_id", *order], "change_id", at.manifest["changes"], self.root)
         name = f"data/{at.version + 1:010d}-{uuid.uuid4().hex}"
         facts = rows.agg(
             F.count(F.lit(1)).alias("n"), F.min("change_id").alias("a"), F.max("change_id").alias("b"), F.unix_seconds(F.min("committed_at")).alias("c"), F.unix_seconds(F.max("committed_at")).alias("d"), F.max("txn_id").alias("t"),
@@ -313,6 +388,8 @@ class ChangeStore:
             rows.select(*CHANGE_COLUMNS).sortWithinPartitions("change_id").write.parquet(f"{self.root}/{name}/changes")
             txns.select("txn_id", *key, "committed_at", "server_id").write.parquet(f"{self.root}/{name}/txns")
 
+        missed = None if misses is None else self._miss_folder(misses)
+
         def change(m: dict):
             if batch:
                 if m["batches"].get(batch[0], -1) >= batch[1]:
@@ -325,7 +402,8 @@ class ChangeStore:
                 m["changes"], m["txns"] = facts["b"], facts["t"]
             highest = [x for x in (m["coverage_to"], facts["d"] if facts["n"] else None, _seconds(reached)) if x is not None]
             m["coverage_to"] = max(highest) if highest else None
-            m["misses"].extend({"moment": _seconds(x.moment), "reason": x.reason} for x in misses)
+            if missed:
+                m["misses"].append(missed)
             if checkpoint:
                 m["checkpoint"] = checkpoint
 
@@ -335,8 +413,8 @@ class ChangeStore:
         """Drop what lies before the retention edge; how many transactions went.
 
         Folders wholly behind the edge are left out, straddling ones rewritten, and the
-        start of coverage moves to the edge in the same publication.  No retention:
-        everything stays.
+        start of coverage moves to the edge in the same publication; ``vacuum`` then takes
+        them off the disk.  No retention: everything stays.
         """
         at = self.snapshot()
         kept_for = at.manifest["retention"]
@@ -364,8 +442,56 @@ class ChangeStore:
         def change(m: dict):
             m["folders"] = [r for f in m["folders"] if (r := replaced.get(f["name"], f)) is not None]
             m["gaps"] = [g for g in m["gaps"] if g["end"] >= edge]
-            m["misses"] = [x for x in m["misses"] if x["moment"] >= edge]
+            m["misses"] = [x for x in m["misses"] if x["last"] >= edge]
+            m["missed_from"] = edge
             m["coverage_from"] = max(edge, m["coverage_from"] if m["coverage_from"] is not None else edge)
 
         self._publish(change)
         return removed
+
+    def compact(self, *, small: int = SMALL_FOLDER, most: int = SMALL_FOLDERS) -> int:
+        """Merge runs of adjacent small folders once there are more than ``most`` of them;
+        how many folders went into others."""
+        at = self.snapshot()
+        runs: list[list[dict]] = [[]]
+        for f in sorted(at.manifest["folders"], key=lambda f: f["first_id"]):
+            if f["last_id"] - f["first_id"] + 1 < small:
+                runs[-1].append(f)
+            else:
+                runs.append([])
+        if sum(map(len, runs)) <= most:
+            return 0
+        merged: dict[str, dict | None] = {}
+        for run in runs:
+            if len(run) < 2:
+                continue
+            name = f"data/{at.version + 1:010d}-{uuid.uuid4().hex}"
+            parts = max(1, (run[-1]["last_id"] - run[0]["first_id"] + 1) // small)
+            at._read("changes", run).repartitionByRange(parts, "change_id").sortWithinPartitions("change_id").write.parquet(f"{self.root}/{name}/changes")
+            at._read("txns", run).coalesce(parts).write.parquet(f"{self.root}/{name}/txns")
+            whole = {"name": name, "first_id": run[0]["first_id"], "last_id": run[-1]["last_id"], "first_at": min(f["first_at"] for f in run), "last_at": max(f["last_at"] for f in run)}
+            merged |= {f["name"]: None for f in run[1:]} | {run[0]["name"]: whole}
+
+        def change(m: dict):
+            if not set(merged) <= {f["name"] for f in m["folders"]}:
+                return False  # pruned meanwhile
+            m["folders"] = [r for f in m["folders"] if (r := merged.get(f["name"], f)) is not None]
+
+        self._publish(change)
+        return len(merged)
+
+    def vacuum(self, grace: timedelta = GRACE) -> int:
+        """Delete old versions, and folders that no kept version names, if nobody has touched
+        them for ``grace``; how many were deleted."""
+        versions = self._versions()
+        old = set(self.files.older("manifest", grace))
+        kept = [v for v in versions if v == versions[-1] or f"{v:010d}.json" not in old]
+        named = set()
+        for v in kept:
+            m = json.loads(self.files.read(f"manifest/{v:010d}.json"))
+            named |= {f["name"] for f in m["folders"]} | {x["name"] for x in m["misses"]} | {(m["checkpoint"] or {}).get("tail")}
+        gone = [f"manifest/{v:010d}.json" for v in versions if v not in kept]
+        gone += [f"{kind}/{n}" for kind in ("data", "misses", "tail") for n in self.files.older(kind, grace) if f"{kind}/{n}" not in named]
+        for name in gone:
+            self.files.delete(name)
+        return len(gone)

@@ -80,13 +80,13 @@ def test_pages_and_lookup(store):
 @pytest.mark.parametrize(
     ("coverage", "f", "gaps", "misses", "why"),
     [
-        (Coverage(), Filter(), [], [], "not recorded"),
+        (Coverage(), Filter(), [], [], "no coverage"),
         (Coverage(NOW - timedelta(days=2), NOW - timedelta(minutes=6)), Filter(), [], [], "stale"),
-        (Coverage(NOW - timedelta(days=2), NOW), Filter((), NOW - timedelta(days=3)), [], [], "covered from"),
-        (Coverage(NOW - timedelta(days=2), NOW), Filter((), None, NOW + timedelta(minutes=6)), [], [], "may still arrive"),
+        (Coverage(NOW - timedelta(days=2), NOW), Filter((), NOW - timedelta(days=3)), [], [], "before coverage"),
+        (Coverage(NOW - timedelta(days=2), NOW), Filter((), None, NOW + timedelta(minutes=6)), [], [], "past coverage"),
         (Coverage(NOW - timedelta(days=2), NOW), Filter(), [Gap(NOW - timedelta(days=1), NOW - timedelta(hours=20), "lost")], [], "gap"),
         (Coverage(NOW - timedelta(days=2), NOW), Filter((), NOW - timedelta(hours=20)), [Gap(NOW - timedelta(days=1), NOW - timedelta(hours=20), "lost")], [], "gap"),
-        (Coverage(NOW - timedelta(days=2), NOW), Filter((), None, NOW - timedelta(hours=1)), [], [Miss(NOW - timedelta(hours=1), "odd")], "could not be recorded"),
+        (Coverage(NOW - timedelta(days=2), NOW), Filter((), None, NOW - timedelta(hours=1)), [], [Miss(NOW - timedelta(hours=1), "odd")], "unrecorded"),
         (Coverage(NOW - timedelta(days=2), NOW), Filter((), NOW - timedelta(hours=1), NOW + timedelta(minutes=5)), [Gap(NOW - timedelta(days=1), NOW - timedelta(hours=20), "x")], [], None),
     ],
 )
@@ -136,13 +136,59 @@ def test_prune_moves_the_edge(store, log):
     assert s.status(NOW).problems == []
 
 
+def test_vacuum_takes_off_the_disk_what_no_version_names(spark, store, log):
+    old = store.snapshot()
+    store.append(log.where("txn_id >= 20"), order=["ord"], batch=("t", 1))
+    store.record_misses([Miss(NOW, "kept"), Miss(NOW - timedelta(days=9), "old")])
+    store.set_retention(timedelta(days=1))
+    store.prune(store.snapshot().coverage.end)
+    assert store.vacuum() == 0 and old.changes().count()  # within the time of grace nothing goes
+    assert store.vacuum(timedelta(0)) > 0 and store.vacuum(timedelta(0)) == 0
+    now = store.snapshot()
+    named = {f["name"] for f in now.manifest["folders"]}
+    assert {f"data/{n}" for n in store.files.names("data")} == named
+    assert spark.read.parquet(f"{store.root}/data/*/changes").count() == now.changes().count() < log.count()
+    assert now.version == store._versions()[0] and {m.reason for m in now.misses} == {"kept"}
+
+
+def test_compaction_keeps_rows_ids_and_times(store, log):
+    for i in range(4):
+        store.append(log.where(f"txn_id between {20 + 5 * i} and {24 + 5 * i}"), order=["ord"], batch=("t", i + 1))
+    before = sorted(map(tuple, store.snapshot().changes().select("change_id", "txn_id", "source_txn_id").collect()))
+    covered = store.snapshot().coverage
+    assert store.compact() == 0 and store.compact(most=4) == 5
+    after = store.snapshot()
+    assert len(after.manifest["folders"]) == 1 and after.coverage == covered
+    assert sorted(map(tuple, after.changes().select("change_id", "txn_id", "source_txn_id").collect())) == before
+    assert after.txns().count() == len({t for _, t, _ in before})
+    again = store.append(log.where("txn_id < 45"), order=["ord"], batch=("t", 9))  # delivered once more
+    assert again.changes().count() == log.where("txn_id < 45").count()
+
+
+def test_old_folders_are_not_searched_for_duplicates(store, log):
+    late = log.where("txn_id >= 100")
+    span = late.agg(F.unix_seconds(F.min("committed_at")), F.unix_seconds(F.max("committed_at"))).first()
+    assert store.snapshot().txns(*span).count() == 0 and store.snapshot().txns().count() > 0
+
+
+def test_a_version_has_one_writer(store):
+    v = store.snapshot().version + 1
+    name = f"manifest/{v:010d}.json"
+    held = store.files.fs.create(store.files._at(f"{name}.claim"), False)
+    held.close()
+    assert not store.files.create(name, "{}") and store.snapshot().version == v - 1  # claimed by another
+    store.files.delete(f"{name}.claim")
+    assert store.files.create(name, json.dumps(store.snapshot().manifest)) and not store.files.create(name, "{}")
+    assert store.snapshot().version == v
+
+
 def test_status_and_integrity(store, spark, tmp_path):
     now = now_of(store)
     report = store.snapshot().status(now)
     assert report.healthy() and report.problems == []
     store.append(store.snapshot().changes().limit(0).withColumn("ord", F.lit(1)), order=["ord"], checkpoint={"log_file": "x", "log_pos": 1, "gtid": None, "updated_at": int(NOW.timestamp()) + 10**8})
     assert "ahead" in store.snapshot().status(now).verdict()
-    assert "not recorded" in ChangeStore(spark, str(tmp_path / "none")).snapshot().status(now).verdict()
+    assert "no coverage" in ChangeStore(spark, str(tmp_path / "none")).snapshot().status(now).verdict()
     with pytest.raises(Refused):
         ChangeStore(spark, str(tmp_path / "none"), create=False)
 
