@@ -10,10 +10,12 @@ double precision settle the rest.  Both tests are lower bounds of the distance,
 probing is sufficient and recall is one.
 
 Coarse lists and codebooks are fitted on at most ``sample`` vectors (those of least
-hash); every vector is indexed.  Equal vectors of a label collapse into one weighted
-representative first.  Crowded lists are compared block by block, each task two
-blocks of bounded size; a task returns link counts and a spanning set of links, never
-all pairs.
+hash); every vector is indexed.  A list of more than ``crowd`` rows is parted again, on the
+executors, into lists of its own fitted on as many of its rows, and those again, so that
+lists stay about as long however large the table is.  What no parting thins out, a heap of
+vectors nearer to each other than the radius, is compared block by block, each task two
+blocks of bounded size; a task returns link counts and a spanning set of links, never all
+pairs.  Equal vectors of a label collapse into one weighted representative first.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components, and rows without a label, link with nothing (n_links 0, own component);
@@ -36,9 +38,11 @@ from .common import cut, ship
 from .components import connected_components
 
 SAMPLE = 16_384
-#: Coarse lists: one for so many vectors, within bounds.
+#: Coarse lists: one for so many vectors, within bounds that hold at each level.
 ROWS_PER_LIST = 2_048
 MIN_LISTS, MAX_LISTS = 4, 512
+#: Rows of a list that is parted again, as a multiple of the above; levels; rows a task places.
+CROWD, LEVELS, PLACED_AT_ONCE = 8, 4, 20_000
 CODEWORDS = 64
 SUBSPACES = 8
 #: Rows of one block; a task compares two blocks.
@@ -84,32 +88,35 @@ def fit_index(x: np.ndarray, lists: int = MIN_LISTS, subspaces: int = SUBSPACES,
     return Index(centroids, [_centres(residual[:, a:b], codewords) for a, b in zip(edges, edges[1:], strict=False)], edges)
 
 
-def assign(index: Index, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Own list, code, error and further lists to probe (of smaller number) of each row."""
-    c = index.centroids
-    square = (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None, :]
+def reach(centroids: np.ndarray, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centroid of each row, and [row, centroid]: whether a vector that belongs to
+    the centroid can lie within ``radius`` of the row."""
+    square = (x**2).sum(1)[:, None] - 2 * x @ centroids.T + (centroids**2).sum(1)[None, :]
     own = np.argmin(square, axis=1)
-    apart = np.sqrt(np.maximum(((c[:, None, :] - c[None, :, :]) ** 2).sum(2), 0)) if len(c) <= MAX_LISTS else None
-    probes = []
-    for i, a in enumerate(own):
-        gap = apart[a] if apart is not None else np.sqrt(((c - c[a]) ** 2).sum(1))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            far = np.where(gap > 0, (square[i] - square[i, a]) / (2 * gap), 0.0)
-        near = np.flatnonzero(far <= radius + SLACK)
-        probes.append(near[near < a])
-    residual = x - c[own]
+    apart = np.sqrt(np.maximum(((centroids[:, None, :] - centroids[None, :, :]) ** 2).sum(2), 0))[own]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = np.where(apart > 0, (square - square[np.arange(len(x)), own][:, None]) / (2 * apart), 0.0)
+    return own, far <= radius + SLACK
+
+
+def assign(index: Index, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Own list, code and error of each row, and [row, list]: own list and those to probe
+    (of smaller number)."""
+    own, near = reach(index.centroids, x, radius)
+    near &= np.arange(near.shape[1])[None, :] <= own[:, None]
+    residual = x - index.centroids[own]
     code = np.stack([_nearest(residual[:, a:b], book) for (a, b), book in zip(zip(index.edges, index.edges[1:], strict=False), index.codebooks, strict=True)], axis=1)
     decoded = np.concatenate([book[code[:, j]] for j, book in enumerate(index.codebooks)], axis=1)
-    return own, code.astype(np.uint8), np.sqrt(((residual - decoded) ** 2).sum(1)), probes
+    return own, code.astype(np.uint8), np.sqrt(((residual - decoded) ** 2).sum(1)), near
 
 
-def _units(vectors: list) -> np.ndarray:
-    x = np.array([np.asarray(v, np.float64) for v in vectors])
+def _units(vectors: np.ndarray) -> np.ndarray:
+    x = np.asarray(vectors, np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 
-def _compare(index: Index, which: int, left: dict, right: dict, same: bool, cosine: float, radius: float):
+def _compare(index: Index, which: int, base: int, left: dict, right: dict, same: bool, cosine: float, radius: float):
     """Links between two blocks of a list: index pairs (i in left, j in right)."""
     found = []
     # Coded members of one side against the raw vectors of the other.  Visitors (rows
@@ -119,7 +126,7 @@ def _compare(index: Index, which: int, left: dict, right: dict, same: bool, cosi
         q = np.flatnonzero(raw["own"] != which) if swapped else np.arange(len(raw["own"]))
         if not len(m) or not len(q):
             continue
-        residual = raw["x"][q] - index.centroids[which]
+        residual = raw["x"][q] - index.centroids[base]
         approx = np.zeros((len(q), len(m)))
         for j, book in enumerate(index.codebooks):
             part = residual[:, index.edges[j] : index.edges[j + 1]]
@@ -162,6 +169,64 @@ def _spanning(n: int, pairs: np.ndarray, names: np.ndarray) -> list[tuple[int, i
     return [(int(names[a]), int(names[find(a)])) for a in touched.tolist() if find(a) != a]
 
 
+def _bytes_of(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    flat = np.ascontiguousarray(rows)
+    width = flat.dtype.itemsize * flat.shape[1]
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(flat), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+
+
+def part_crowded(placed: DataFrame, radius: float, width: str, rows_per_list: int, crowd: int, max_lists: int) -> DataFrame:
+    """``placed`` with its crowded lists parted, level by level.
+
+    A list's number is its parent's times 1024 plus its own, so numbers never meet; rows
+    that visit a list visit every part of it that could hold a partner.
+    """
+    key = ["label", "size", "list"]
+    columns = placed.columns
+    done = None
+    for _ in range(LEVELS):
+        sizes = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("own") == F.col("list")).alias("members"))
+        full = cut(sizes.where((F.col("n") > crowd) & (F.col("members") > 1)))
+        if not full.take(1):
+            break
+        calm = placed.join(full.select(*key), key, "left_anti")
+        done = calm if done is None else done.unionByName(calm)
+        rows = placed.join(full, key)
+        share = F.least(F.lit(1.0), 2.0 * SAMPLE / F.col("members")) * (1 << 30)
+        some = rows.where((F.col("own") == F.col("list")) & (F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < share))
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            x = _units(np.stack([np.frombuffer(v, width) for v in pdf.sort_values("rep")["x"].iloc[:SAMPLE]]))
+            wanted = int(np.clip(pdf["members"].iloc[0] // rows_per_list, 2, max_lists))
+            centres = np.unique(_centres(x, min(wanted, max(2, len(x) // 16))), axis=0)
+            return pdf[key].iloc[:1].assign(k=len(centres), centres=[centres.tobytes()])
+
+        # One model a crowded list, each of at most max_lists vectors, handed to every slice of it.
+        models = cut(some.groupBy(*key).applyInPandas(fit, "label string, size int, list long, k int, centres binary"))
+        slices = F.ceil(F.col("n") / PLACED_AT_ONCE).cast("int")
+        sent = models.join(full, key).select(*key, "k", "centres", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
+        rows = rows.select(*columns, F.pmod(F.xxhash64("rep", "own"), slices).cast("int").alias("slice"))
+
+        def split(pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+            if not len(pdf):
+                return pdf[columns]
+            x = _units(np.stack([np.frombuffer(v, width) for v in pdf["x"]]))
+            centres = np.frombuffer(model["centres"].iloc[0]).reshape(int(model["k"].iloc[0]), -1)
+            nearest, near = reach(centres, x, radius)
+            member = (pdf["own"] == pdf["list"]).to_numpy()
+            near &= ~member[:, None] | (np.arange(len(centres))[None, :] <= nearest[:, None])
+            row, at = np.nonzero(near)
+            out = pdf[columns].iloc[row].copy()
+            parent = out["list"].to_numpy() * 1024
+            out["own"] = np.where(member[row], parent + nearest[row], out["own"].to_numpy())
+            out["list"] = parent + at
+            return out
+
+        placed = cut(rows.groupBy(*key, "slice").cogroup(sent.groupBy(*key, "slice")).applyInPandas(split, placed.schema))
+    return placed if done is None else done.unionByName(placed)
+
+
 def near_vectors(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -172,8 +237,12 @@ def near_vectors(
     sample: int = SAMPLE,
     rows_per_list: int = ROWS_PER_LIST,
     block: int = BLOCK,
+    crowd: int | None = None,
+    max_lists: int = MAX_LISTS,
 ) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept."""
+    if not 2 <= max_lists <= 1024:
+        raise ValueError("a level holds 2 to 1024 lists")
     spark = vectors.sparkSession
     ship(spark)
     radius = float(np.sqrt(2 - 2 * cosine))
@@ -197,7 +266,7 @@ def near_vectors(
     by_size: dict[int, list] = {}
     for v in taken:
         by_size.setdefault(len(v), []).append(v)
-    lists = int(np.clip(n // rows_per_list, MIN_LISTS, MAX_LISTS))
+    lists = int(np.clip(n // rows_per_list, min(MIN_LISTS, max_lists), max_lists))
     fitted = {d: fit_index(_units(v), lists) for d, v in by_size.items()}
 
     def index_for(size: int) -> Index:
@@ -206,28 +275,32 @@ def near_vectors(
             fitted[size] = Index(np.zeros((1, size)), [np.zeros((1, size))], [0, size])
         return fitted[size]
 
-    placed_schema = "label string, size int, list int, own int, rep long, weight long, x binary, code binary, error float"
+    placed_schema = "label string, size int, list long, own long, base int, rep long, weight long, x binary, code binary, error float"
+    names = [f.strip().split(" ")[0] for f in placed_schema.split(",")]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label, v, rep, weight = (c.to_pylist() for c in batch.columns)
-            out: list[tuple] = []
-            sizes = np.array([len(x) for x in v])
+            label, v, rep, weight = batch.columns
+            values, ends = v.flatten().to_numpy(zero_copy_only=False), np.cumsum(v.value_lengths().to_numpy())
+            sizes = v.value_lengths().to_numpy()
             for size in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == size)
-                x = np.array([v[i] for i in at], width)
-                own, code, error, probes = assign(index_for(size), _units(x), radius)
-                for k, i in enumerate(at.tolist()):
-                    for which in (int(own[k]), *probes[k].tolist()):
-                        out.append((str(label[i]), size, which, int(own[k]), rep[i], weight[i], x[k].tobytes(), code[k].tobytes(), float(error[k])))
-            if out:
-                columns = list(zip(*out, strict=True))
-                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float32()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["label", "size", "list", "own", "rep", "weight", "x", "code", "error"])
-
-    placed = cut(reps.select("label", "v", "rep", "weight").mapInArrow(place, placed_schema))
+                x = values[(ends[at] - size)[:, None] + np.arange(size)].astype(width)
+                own, code, error, near = assign(index_for(size), _units(x), radius)
+                row, which = np.nonzero(near)
+                take = pa.array(at[row])
+                # Top lists are numbered from 1, so that no part bears a top list's number.
+                columns = [
+                    label.take(take), pa.array(np.full(len(row), size, np.int32)), pa.array(which + 1), pa.array(own[row] + 1), pa.array(which.astype(np.int32)),
+                    rep.take(take), weight.take(take), _bytes_of(x[row]), _bytes_of(code[row]), pa.array(error[row].astype(np.float32)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    labelled = reps.select(F.col("label").cast("string").alias("label"), "v", "rep", "weight")
+    placed = part_crowded(cut(labelled.mapInArrow(place, placed_schema)), radius, width, rows_per_list, crowd or CROWD * rows_per_list, max_lists)
     key = ["label", "size", "list"]
-    sizes = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written apart, so that Spark may split the rows of a crowded list in the join.
+    sizes = cut(placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     blocked = placed.join(sizes, key).withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
     blocked = blocked.withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # Each block meets each: (b, every other) as a sorted pair.
@@ -236,7 +309,7 @@ def near_vectors(
     )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        size, which = int(pdf["size"].iloc[0]), int(pdf["list"].iloc[0])
+        size, which, base = (int(pdf[c].iloc[0]) for c in ("size", "list", "base"))
         p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
         index = index_for(size)
         pdf = pdf.sort_values(["b", "rep"], kind="stable")
@@ -250,7 +323,7 @@ def near_vectors(
             }
 
         left_rows, right_rows = pdf[pdf["b"] == p], pdf[pdf["b"] == q]
-        pairs = _compare(index, which, side(left_rows), side(right_rows), p == q, cosine, radius)
+        pairs = _compare(index, which, base, side(left_rows), side(right_rows), p == q, cosine, radius)
         if p == q:
             names, weights, shift = left_rows["rep"].to_numpy(), left_rows["weight"].to_numpy(), 0
         else:

@@ -172,8 +172,10 @@ def brute_vectors(rows, cosine=0.98):
     return sorted((rows[n][0], sum(n in p for p in links), rows[part[n]][0], part[n] == n) for n in range(len(rows)))
 
 
-@pytest.mark.parametrize(("block", "per_list"), [(1024, 8), (16, 20), (64, 2048)])
-def test_near_vectors_against_brute_force(spark, block, per_list):
+@pytest.mark.parametrize(("block", "per_list", "crowd", "lists"), [(1024, 8, None, 512), (16, 20, None, 512), (64, 2048, None, 512), (16, 4, 12, 2), (8, 8, 5, 3)])
+def test_near_vectors_against_brute_force(spark, monkeypatch, block, per_list, crowd, lists):
+    if crowd:  # several levels of lists, placed in several slices
+        monkeypatch.setattr(pq_neardup, "PLACED_AT_ONCE", 7)
     rng = np.random.default_rng(block)
     rows = []
     for k in range(30):
@@ -183,7 +185,7 @@ def test_near_vectors_against_brute_force(spark, block, per_list):
     n = len(rows)
     rows += [(n, rows[0][1], 0), (n + 1, [2 * x for x in rows[0][1]], 0), (n + 2, None, 0), (n + 3, [0.0] * 24, 0), (n + 4, [1.0, None] * 12, 0), (n + 5, [float("nan")] * 24, 0), (n + 6, [float("inf")] * 24, 0), (n + 7, rows[0][1], None), (n + 8, [1.0, 2.0], 0), (n + 9, [1.0, 2.0], 0), (n + 10, [], 0), (n + 11, rows[0][1], 0)]
     df = spark.createDataFrame([(i, v, label, "clash") for i, v, label in rows], "vec_id long, embedding array<float>, label int, rep string").repartition(3)
-    got = pq_neardup.near_vectors(df, block=block, rows_per_list=per_list)
+    got = pq_neardup.near_vectors(df, block=block, rows_per_list=per_list, crowd=crowd, max_lists=lists)
     assert sorted(map(tuple, got.collect())) == brute_vectors(rows)
 
 
