@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import Filter, Refused, is_ddl, matches
 from ..model import DELETE, INSERT, SCHEMA_CHANGE, UPDATE
+from .running import running_sum
 
 EVENT_SCHEMA = (
     "log_file string, file_ord int, event_ord long, event_type string, log_pos long, event_size long, event_at timestamp, "
@@ -45,11 +46,11 @@ def op_of(event_type: Column) -> Column:
 def with_positions(events: DataFrame, *, file: str = "log_file", order: str = "event_ord") -> DataFrame:
     """``log_pos`` as logged, or where the scan has got to where the log wrote none.
 
-    A running sum over one file; files are independent and are scanned side by side.
+    A running sum over each file, stretch by stretch.
     """
-    so_far = Window.partitionBy(file).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    scanned = F.lit(FIRST_POSITION) + F.sum("event_size").over(so_far)
-    return events.withColumn("log_pos", F.coalesce(F.nullif(F.col("log_pos"), F.lit(0)), scanned))
+    scanned = running_sum(events, F.col("event_size"), "__scanned", [file], [order])
+    placed = F.coalesce(F.nullif(F.col("log_pos"), F.lit(0)), F.col("__scanned") + FIRST_POSITION)
+    return scanned.withColumn("log_pos", placed).drop("__scanned")
 
 
 def columns_of(names: Column, pk: Column) -> Column:

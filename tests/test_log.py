@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowtide.functions.predicates import Filter, Refused
+from rowtide.operators import running
 from rowtide.operators.assemble import STREAM_SCHEMA, assemble
 from rowtide.operators.normalise import EVENT_SCHEMA, file_changes, with_positions
+from rowtide.operators.running import running_sum
 from rowtide.sources.decoded_log import DecodeOptions, read_changes
 
 T0 = datetime(2024, 1, 1, tzinfo=UTC)
@@ -115,3 +117,27 @@ def test_files_are_read_in_the_order_named(spark, tmp_path):
 
 def test_fingerprint():
     assert DecodeOptions().fingerprint() == "v1;parse_time=true;exact_decimal=true;verify_checksum=true;tz=UTC"
+
+
+def test_running_sums_do_not_depend_on_the_stretch(spark):
+    rows = [(g, n * 3, n % 2, n) for g in ("a", None, "b") for n in range(50)]
+    df = spark.createDataFrame(rows, "g string, at long, sub int, v long").repartition(5)
+    want = sorted(((g, at, sum(x for h, b, _, x in rows if h == g and b <= at)) for g, at, _, _ in rows), key=repr)
+    for stretch in (1, 7, 10**6):
+        got = running_sum(df, F.col("v"), "total", ["g"], ["at", "sub"], stretch=stretch)
+        assert got.columns == [*df.columns, "total"]
+        assert sorted(map(tuple, got.select("g", "at", "total").collect()), key=repr) == want
+    assert running_sum(df.where("false"), F.col("v"), "total", ["g"], ["at"]).collect() == []
+
+
+def test_one_long_file_is_assembled_in_stretches(spark, monkeypatch):
+    steps = [Q("BEGIN"), ("WRITE_ROWS_V2", {}), ("UPDATE_ROWS_V1", {"log_pos": 0}), ("XID", {}), Q("BEGIN"), ("DELETE_ROWS_V0", {}), Q("ROLLBACK")]
+    log = events(spark, *(steps * 6)).cache()
+
+    def found():
+        changes = assemble(log).changes.select("event_ord", "source_txn_id", "op")
+        return sorted(map(tuple, changes.collect())), sorted(map(tuple, with_positions(log).select("event_ord", "log_pos").collect()))
+
+    whole = found()
+    monkeypatch.setattr(running, "STRETCH", 5)
+    assert found() == whole and len(whole[0]) == 12
