@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import warnings
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -28,10 +29,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if known:
         return known
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="rowtide-checkpoint-"))
+    if not shared:
+        warnings.warn("spark.checkpoint.dir is not set; using a folder of this machine, which no cluster shares", stacklevel=2)
+        shared = tempfile.mkdtemp(prefix="rowtide-checkpoint-")
+    context.setCheckpointDir(shared)
     return context.getCheckpointDir()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate rows that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there (survives lost executors)."""
     checkpoint_dir(df.sparkSession)
@@ -137,7 +147,7 @@ def without(docs: DataFrame, lost: DataFrame, repeated: DataFrame, id_col: str,
     """
     text = text_or_empty(text_col)
     found = marks(lost.unionByName(repeated), "doc_id", "n_bytes")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(F.col(id_col).cast(lost.schema["doc_id"].dataType).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"), F.struct(*docs.columns).alias("row"))
     rows = flagged(rows, found, F.xxhash64("doc_id", "n_bytes"), "listed")
     clear = rows.where("not listed").select("row")
     keys = ["doc_id", "n_bytes", "digest"]
