@@ -10,20 +10,32 @@ from test_log import Q, events
 
 
 def test_positions_of_growing_and_rotated_files(tmp_path):
-    (tmp_path / "log.1.jsonl").write_text("a\nb\nhalf")
-    r = LogLinesReader(str(tmp_path), 2)
-    rows, at = r.read(r.initialOffset())
-    assert list(rows) == [("log.1.jsonl", 0, "a"), ("log.1.jsonl", 1, "b")] and at == {"file": "log.1.jsonl", "line": 2}
-    assert list(r.read(at)[0]) == []  # a line without its end waits
+    (tmp_path / "log.1.jsonl").write_text("a\nbé\nhalf")
+    for split in (1, 3, 1 << 20):
+        r = LogLinesReader(str(tmp_path), split=split)
+        assert r.latestOffset() == {"file": "log.1.jsonl", "at": 6}
+        assert lines(r, r.initialOffset(), r.latestOffset()) == [("log.1.jsonl", 0, "a"), ("log.1.jsonl", 2, "bé")]
+    at = r.latestOffset()
+    assert lines(r, at, r.latestOffset()) == []  # a line without its end waits
     with open(tmp_path / "log.1.jsonl", "a") as f:
         f.write(" done\n")
-    (tmp_path / "log.2.jsonl").write_text("c\n")
-    rows, end = r.read(at)
-    assert [x[2] for x in rows] == ["half done", "c"] and list(r.readBetweenOffsets(at, end)) == [("log.1.jsonl", 2, "half done"), ("log.2.jsonl", 0, "c")]
-    assert LogLinesReader(str(tmp_path), 2, "latest").initialOffset() == end
+    (tmp_path / "log.2.jsonl").write_text("\nc\n" + "x" * 200_000)
+    end = r.latestOffset()
+    assert end == {"file": "log.2.jsonl", "at": 3}
+    assert lines(r, at, end) == [("log.1.jsonl", 6, "half done"), ("log.2.jsonl", 0, ""), ("log.2.jsonl", 1, "c")]
+    assert LogLinesReader(str(tmp_path), "latest").initialOffset() == end
+    assert LogLinesReader(tmp_path.as_uri()).latestOffset() == end
+    (tmp_path / "log.2.jsonl").write_text("")
+    with pytest.raises(Refused, match="gap"):
+        r.partitions(end, end)
     (tmp_path / "log.2.jsonl").unlink()
     with pytest.raises(Refused, match="gap"):
-        r.read(end)
+        r.partitions(end, end)
+    assert LogLinesReader(str(tmp_path / "sub")).folder and LogLinesReader(str(tmp_path)).partitions({"file": "", "at": 0}, {"file": "", "at": 0}) == []
+
+
+def lines(reader, start, end):
+    return [row for p in reader.partitions(start, end) for row in reader.read(p)]
 
 
 def test_the_line_source_feeds_a_stream(spark, tmp_path):
