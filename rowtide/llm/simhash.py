@@ -8,9 +8,10 @@ bit must be equal: those bits are the join key.  A joined pair must then hold th
 budgets of all longer chains, and at last the full Hamming distance.
 
 Rows of one fingerprint collapse to one node before any join.  A key shared by more
-than ``bucket`` fingerprints is not joined pair by pair: its members meet at the
-points one bit away from them (two fingerprints differ in at most two bits exactly
-if such points coincide), which is linear in the members and loses no component.
+than ``bucket`` fingerprints is not joined pair by pair: for a distance of two its members
+meet at the points one bit away from them (two fingerprints differ in at most two bits
+exactly if such points coincide), which is linear in the members and loses no component.
+For other distances they are compared in pairs of blocks of about ``bucket`` members.
 
 Defined cases: null text counts as empty; a text without words has fingerprint zero
 and links like any other; rows of equal fingerprint are one group whatever their
@@ -91,8 +92,8 @@ def _equal(segments: int, distance: int) -> int:
 def fingerprint_links(
     prints: DataFrame, *, distance: int = 2, segments: int | None = None, bucket: int = 256
 ) -> DataFrame:
-    """(a, b) links between distinct ``fp`` values: every pair within ``distance``
-    outside hot buckets, a spanning set of pairs within ``distance`` in hot ones.
+    """(a, b) links between distinct ``fp`` values: every pair within ``distance``, but of
+    hot buckets at a distance of two a spanning set.
 
     More segments make longer keys and more copies of each row.  Unless given, their
     number is the least that leaves about ``bucket`` / 16 fingerprints to a key; the links
@@ -115,28 +116,25 @@ def fingerprint_links(
     some_hot = bool(hot.take(1))
     calm = keyed.join(hot.select("start", "key"), ["start", "key"], "left_anti") if some_hot else keyed
     differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
-    start = F.col("x.start")
-    found = (
-        calm.alias("x")
-        .join(
-            calm.alias("y"),
-            (F.col("x.start") == F.col("y.start"))
-            & (F.col("x.key") == F.col("y.key"))
-            & (F.col("x.fp") < F.col("y.fp"))
-            & _chain_holds(differ, start, segments, distance)
-            & (F.bit_count(differ) <= distance),
-        )
-        .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    )
-    if some_hot:
-        if distance != 2:
-            raise ValueError("hot buckets are settled for a distance of two")
+    near = (F.col("x.fp") < F.col("y.fp")) & _chain_holds(differ, F.col("x.start"), segments, distance) & (F.bit_count(differ) <= distance)
+    same = (F.col("x.start") == F.col("y.start")) & (F.col("x.key") == F.col("y.key"))
+    ends = F.col("x.fp").alias("a"), F.col("y.fp").alias("b")
+    found = calm.alias("x").join(calm.alias("y"), same & near).select(*ends)
+    if some_hot and distance == 2:
         members = keyed.join(hot.select("start", "key"), ["start", "key"], "left_semi").select("fp").distinct()
         flips = F.explode(F.array(*[F.lit(v).cast("long") for v in [0, *(1 << b for b in range(63)), -(1 << 63)]]))
         points = members.select("fp", flips.alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
-        least = points.groupBy("point").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        least = cut(points.groupBy("point").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"))
         met = points.join(least, "point").where("fp <> a").select("a", F.col("fp").alias("b"))
         found = found.unionByName(met)
+    elif some_hot:
+        blocks = F.ceil(F.col("n") / bucket).cast("int")
+        members = keyed.join(hot, ["start", "key"]).withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("fp"), blocks).cast("int")})
+        # Each pair of blocks meets in one place: (smaller, larger).
+        members = members.select("fp", "start", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        members = members.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+        once = (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q")) & ((F.col("x.own") != F.col("y.own")) | (F.col("x.p") == F.col("x.q")))
+        found = found.unionByName(members.alias("x").join(members.alias("y"), same & once & near).select(*ends))
     return found.distinct()
 
 
@@ -156,8 +154,9 @@ def near_groups(
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
     links = fingerprint_links(nodes.select("fp"), distance=distance, segments=segments, bucket=bucket)
     classes = connected_components(links).select(F.col("node").alias("fp"), "component")
-    placed = nodes.join(classes, "fp", "left").select("fp", "node", F.coalesce("component", "fp").alias("component"))
-    least = placed.groupBy("component").agg(F.min("node").alias("component_id"))
+    placed = cut(nodes.join(classes, "fp", "left").select("fp", "node", F.coalesce("component", "fp").alias("component")))
+    # Written apart, so that Spark may split a component that holds most nodes.
+    least = cut(placed.groupBy("component").agg(F.min("node").alias("component_id")))
     named = placed.join(least, "component").select("fp", F.col("component").alias("group"), "component_id")
     return (
         prints.join(named, "fp")

@@ -137,6 +137,15 @@ def test_links_lose_no_pair(spark, segments, bucket):
     assert brute_components(prints, got) == brute_components(prints, want)
 
 
+@pytest.mark.parametrize(("distance", "bucket"), [(1, 4), (3, 256), (3, 3), (4, 5)])
+def test_links_at_other_distances(spark, distance, bucket):
+    prints = sorted(near_prints(random.Random(distance), centres=15) | {0, 1, 3, (1 << 64) - 1})
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    found = simhash.fingerprint_links(df, distance=distance, segments=8, bucket=bucket).collect()
+    got = sorted(tuple(sorted((a % (1 << 64), b % (1 << 64)))) for a, b in found)
+    assert got == [(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if (a ^ b).bit_count() <= distance]
+
+
 def test_near_groups(documents):
     rng = random.Random(6)
     rows = list(CASES)
