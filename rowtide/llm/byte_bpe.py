@@ -7,10 +7,12 @@ closed under composition into a small table of all that can arise, so composing
 one table lookup and associative; a blocked prefix scan yields the state before
 every codepoint, and the boundaries follow from state, symbol and the symbol after.
 No regular expression runs.  The slices between boundaries feed the pair merger,
-whose results are cached; their offsets are kept for decoding single spans.
+whose results are cached; their offsets are kept for decoding single spans.  A text longer
+than ``SCAN_CHARS`` is scanned part by part, each from the state that the one before left,
+so that only its ids and offsets are held whole.
 
 Defined cases: a null text counts as empty; special strings are ordinary text; any
-Unicode text round-trips; rows are independent, repeats and ties included; an empty
+Unicode text of any length round-trips; rows are independent, repeats and ties included; an empty
 table gives an empty result; extra columns are not looked at.
 """
 
@@ -21,6 +23,7 @@ import hashlib
 import os
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, texts_of
 
-#: Codepoints scanned at once, a longer text alone.
+#: Codepoints scanned at once.
 SCAN_CHARS = 1 << 19
 #: Slices whose ids are cached in a worker; the cache then starts afresh.
 CACHE_SLICES = 800_000
@@ -121,12 +124,15 @@ def _scan(functions: np.ndarray, table: np.ndarray) -> np.ndarray:
     return whole.T.ravel()[:n]
 
 
-def boundaries(codepoints: np.ndarray) -> np.ndarray:
-    """True where a slice begins; texts are set off by separators, which begin one too."""
+def boundaries(codepoints: np.ndarray, opening: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """True where a slice begins, and the state after each codepoint; texts are set off by
+    separators, which begin a slice too.  ``opening`` is the state that an earlier part of
+    the same text left; the last two codepoints then count as looked at only."""
     n = len(codepoints)
     symbols = codepoint_classes()[codepoints]
     if not n:
-        return np.zeros(0, bool)
+        return np.zeros(0, bool), np.zeros(0, np.uint8)
+    before = NONE if opening is None else opening
     kinds = symbols.copy()
     for at in np.flatnonzero(codepoints == 39).tolist():
         one = chr(codepoints[at + 1]) if at + 1 < n else ""
@@ -136,9 +142,9 @@ def boundaries(codepoints: np.ndarray) -> np.ndarray:
         elif two in ("re", "ve", "ll"):
             symbols[at] = LONG
     own, table, images = transition_monoid()
-    after = images[_scan(own[symbols], table), NONE]
+    after = images[_scan(own[symbols], table), before]
     state = np.empty(n, np.uint8)
-    state[0] = NONE
+    state[0] = before
     state[1:] = after[:-1]
     following = np.full(n, START, np.uint8)
     following[:-1] = kinds[1:]
@@ -153,9 +159,9 @@ def boundaries(codepoints: np.ndarray) -> np.ndarray:
     begins &= ~((state == ONE_MORE) | (state == TWO_MORE))
     begins |= kinds == START
     # Behind a separator and at the beginning everything begins.
-    begins[0] = True
+    begins[0] |= opening is None
     begins[1:] |= kinds[:-1] == START
-    return begins
+    return begins, after
 
 
 def slices(texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
@@ -177,7 +183,7 @@ def slices(texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
 def _cut_group(group: list[str]) -> list[tuple[list[str], np.ndarray]]:
     joined = _SEPARATOR.join(group)
     codepoints = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
-    starts = np.flatnonzero(boundaries(codepoints))
+    starts = np.flatnonzero(boundaries(codepoints)[0])
     out, base = [], 0
     for x in group:
         a, b = np.searchsorted(starts, (base, base + len(x)))
@@ -188,6 +194,23 @@ def _cut_group(group: list[str]) -> list[tuple[list[str], np.ndarray]]:
     return out
 
 
+def long_slices(text: str) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The slices of one long text and their offsets, part by part."""
+    state, opened = None, 0
+    for at in range(0, len(text), SCAN_CHARS):
+        size = min(SCAN_CHARS, len(text) - at)
+        codepoints = np.frombuffer(text[at : at + size + 2].encode("utf-32-le"), "<u4")
+        begins, after = boundaries(codepoints, state)
+        starts = np.flatnonzero(begins[:size]) + at
+        state = int(after[size - 1])
+        edges = np.concatenate(([opened], starts if at else starts[1:]))
+        if at + size == len(text):
+            edges = np.append(edges, len(text))
+        marks = edges.tolist()
+        yield [text[i:j] for i, j in zip(marks, marks[1:], strict=False)], edges[:-1]
+        opened = marks[-1]
+
+
 class BytePairCodec:
     """Encoder and decoder over a table of ranks."""
 
@@ -251,14 +274,30 @@ class BytePairCodec:
 
     def encode_texts(self, texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
         """For each text its ids (little-endian unsigned 32-bit) and the slices' offsets."""
-        cut = slices(texts)
+        short = [x for x in texts if len(x) <= SCAN_CHARS]
+        coded = iter([(self._ids(pieces), offsets) for pieces, offsets in self._known(slices(short))])
+        return [next(coded) if len(x) <= SCAN_CHARS else self._encode_long(x) for x in texts]
+
+    def _known(self, cut: list[tuple[list[str], np.ndarray]]) -> list[tuple[list[str], np.ndarray]]:
+        """``cut``, with the ids of all its slices in the cache."""
         if len(self.cache) > self.size:
             self.cache.clear()
         cache = self.cache
         for s in set().union(*(p for p, _ in cut)) if cut else ():
             if s not in cache:
                 cache[s] = np.array(self.merge(s.encode("utf-8")), "<u4").tobytes()
-        return [(b"".join(map(cache.__getitem__, pieces)), offsets) for pieces, offsets in cut]
+        return cut
+
+    def _ids(self, pieces: list[str]) -> bytes:
+        return b"".join(map(self.cache.__getitem__, pieces))
+
+    def _encode_long(self, text: str) -> tuple[bytes, np.ndarray]:
+        ids, offsets = bytearray(), []
+        for part in long_slices(text):
+            ((pieces, at),) = self._known([part])
+            ids += self._ids(pieces)
+            offsets.append(at)
+        return bytes(ids), np.concatenate(offsets)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_texts([text])[0][0], "<u4").tolist()
@@ -312,7 +351,10 @@ def encoding_digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
         for coded, _ in c.encode_texts(texts_of(batch.column(1))):
             n.append(len(coded) // 4)
             ids.append(hashlib.sha256(coded).hexdigest())
-            decoded.append(hashlib.sha256(c.decode(np.frombuffer(coded, "<u4").tolist())).hexdigest())
+            back = hashlib.sha256()
+            for at in range(0, len(coded), 4 * SCAN_CHARS):
+                back.update(c.decode(np.frombuffer(coded[at : at + 4 * SCAN_CHARS], "<u4").tolist()))
+            decoded.append(back.hexdigest())
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

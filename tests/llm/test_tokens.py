@@ -10,6 +10,7 @@ import tiktoken
 from corpus_fixtures import ODD, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rowtide.llm import byte_bpe, packing, token_count
@@ -39,6 +40,29 @@ def test_boundaries_of_a_batch_are_those_of_its_texts():
     assert [p for p, _ in byte_bpe.slices(texts)] == [byte_bpe.slices([t])[0][0] for t in texts]
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 20])
+def test_long_texts_are_scanned_part_by_part(monkeypatch, size):
+    rng = random.Random(size)
+    parts = [*"abZ  \n\t'.,!1٣é漢🙂", "'s", "'re", "'ll", " '", "'t ", "  x", "\n\n"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(60))) for _ in range(400)]
+    whole = CODEC.encode_texts(texts)
+    monkeypatch.setattr(byte_bpe, "SCAN_CHARS", size)
+    for t, (ids, offsets), (long_ids, long_offsets) in zip(texts, whole, CODEC.encode_texts(texts), strict=True):
+        assert long_ids == ids and long_offsets.tolist() == offsets.tolist()
+        assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode_ordinary(t)
+
+
+@pytest.mark.parametrize(
+    "operator", [lambda d: packing.pack_documents(d, WORDS), lambda d: token_count.token_counts(d, JSON), lambda d: byte_bpe.encoding_digests(d, RANKS)]
+)
+def test_further_columns_do_not_matter(documents, operator):
+    names = ("n_tokens", "n_bytes", "ids_sha256", "over_limit", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "rank", "slice", "n", "before")
+    docs = documents([*enumerate(ODD), (None, None), (0, "again"), (0, "again")])
+    clashing = docs.withColumns({c: F.lit("own") for c in names})
+    assert sorted(map(tuple, operator(clashing).collect()), key=repr) == sorted(map(tuple, operator(docs).collect()), key=repr)
+    assert operator(clashing.where("false")).collect() == []
+
+
 def test_long_slices_and_a_small_cache():
     small = byte_bpe.BytePairCodec(CODEC.ranks, cache=5)
     for text in ("ab" * 3000, "🙂" * 400, prose(random.Random(1), 300), "x" * 129):
