@@ -45,7 +45,7 @@ _recorded: dict[tuple[str, str], ChangeStore] = {}
 def shared_store(spark: SparkSession, sf_dir: str) -> ChangeStore:
     """The recorded store, built once a session for queries that only read it."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _recorded:
+    if key not in _recorded or not _recorded[key].files.names("manifest"):
         _recorded[key] = recorded(spark, sf_dir)
     return _recorded[key]
 
