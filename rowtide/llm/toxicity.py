@@ -16,8 +16,9 @@ evidence.
 
 Fitting uses at most ``max_examples`` labelled rows, those of least hash, and of these the
 first whose texts together hold ``max_bytes`` at most (documented bounds, so the model that
-is broadcast is bounded too; a text that no longer fits is passed over).  Rows of equal
-text and label are one example.  Scoring reads every row and whole texts of any length.
+is broadcast is bounded too; a text that no longer fits is passed over).  One task fits them;
+the driver sees the finished model as bytes only.  Rows of equal text and label are one
+example.  Scoring reads every row and whole texts of any length.
 
 Defined cases: a null or empty text, or one that shares no term with an example, gets the
 rate of toxic rows among the examples (among those without terms, if there are any); ties
@@ -30,9 +31,13 @@ them on.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import pickle
 import re
+from array import array
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -41,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep_rows, map_arrow, text_or_empty, texts_of
+from .common import cut, keep_rows, map_arrow, ship, text_or_empty, texts_of
 
 MAX_EXAMPLES = 3_000
 MAX_BYTES = 64 << 20
@@ -75,7 +80,7 @@ class BlockMaxIndex:
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK, long_share: float = LONG_SHARE):
         self.n, self.block = len(vectors), block
         sizes = np.array([len(t) for t, _ in vectors], np.int64)
-        term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)]).astype(np.int64)
+        term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int32)])
         weight = np.concatenate([w for _, w in vectors] or [np.empty(0)]).astype(np.float64)
         row = np.repeat(np.arange(self.n), sizes)
         length = np.bincount(term, minlength=n_terms)
@@ -100,11 +105,10 @@ class BlockMaxIndex:
         place = np.empty(self.n, np.int64)
         place[self.rows] = np.arange(self.n)
         order = np.lexsort((place[row[~is_long]], term[~is_long]))
-        self.places = place[row[~is_long]][order]
+        self.places = place[row[~is_long]][order].astype(np.int32)
         self.weights = weight[~is_long][order]
         first = np.searchsorted(term[~is_long][order], np.arange(n_terms + 1))
         self.first, self.size = first[:-1].copy(), np.diff(first)
-        self.count = np.arange(len(self.places))
 
     def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The k largest positive cosines as (cosine, row), ties to the smaller row."""
@@ -118,7 +122,7 @@ class BlockMaxIndex:
             start, size = self.first[term[short]], self.size[term[short]]
             # The places of all postings of these lists, one list behind the other.
             at = (start - np.cumsum(size) + size).repeat(size)
-            at += self.count[: len(at)]
+            at += np.arange(len(at))
             part = self.weights.take(at)
             part *= weight[short].repeat(size)
             score = np.bincount(self.places.take(at), part, minlength=len(score))
@@ -257,23 +261,33 @@ def fit_examples(examples: list[tuple[int, str, bool]], neighbours: int = NEIGHB
     if not n:
         return Model({}, np.empty(0), [], np.empty(0, bool), None, 0.0, 0.0, empty, empty, neighbours)
     vocabulary: dict[str, int] = {}
-    counted = []
+    # Flat arrays: they are given back to the system as soon as they are done with.
+    held, times, sizes = array("i"), array("f"), []
     for _, text, _ in examples:
         found = terms(text)
-        counted.append((np.array([vocabulary.setdefault(t, len(vocabulary)) for t in found], np.int64), np.array(list(found.values()), np.float64)))
+        held.extend([vocabulary.setdefault(t, len(vocabulary)) for t in found])
+        times.extend(found.values())
+        sizes.append(len(found))
     labels = np.array([y for _, _, y in examples], bool)
-    rows, toxic = np.zeros(len(vocabulary)), np.zeros(len(vocabulary))
-    for (held, _), y in zip(counted, labels, strict=True):
-        rows[held] += 1
-        toxic[held] += y
+    ids = [i for i, _, _ in examples]
+    examples.clear()
+    term, size = np.frombuffer(held, np.int32), np.array(sizes)
+    rows = np.bincount(term, minlength=len(vocabulary)).astype(float)
+    toxic = np.bincount(term, np.repeat(labels, size), minlength=len(vocabulary))
     weight = term_weights(rows, toxic, n, n_toxic) if len(vocabulary) else np.empty(0)
-    some = [i for i, (held, _) in enumerate(counted) if len(held)]
+    row = np.repeat(np.arange(n, dtype=np.int32), size)
+    order = np.lexsort((term, row))
+    term = term[order]
+    raw = (1 + np.log(np.frombuffer(times, np.float32)[order].astype(np.float64))) * weight[term]
+    raw /= np.sqrt(np.bincount(row, raw * raw, minlength=n))[row]
+    stops = np.cumsum(size)
+    some = np.flatnonzero(size)
     prior = n_toxic / n
-    bare = [labels[i] for i in range(n) if not len(counted[i][0])]
-    vectors = [weigh(*counted[i], weight) for i in some]
-    index = BlockMaxIndex(vectors, len(vocabulary)) if some else None
+    bare = labels[size == 0].tolist()
+    vectors = [(term[b - k : b], raw[b - k : b]) for b, k in zip(stops[some].tolist(), size[some].tolist(), strict=True)]
+    index = BlockMaxIndex(vectors, len(vocabulary)) if len(some) else None
     model = Model(
-        vocabulary, weight, [examples[i][0] for i in some], labels[some], index, (sum(bare) + prior) / (len(bare) + 1), prior, empty, empty, neighbours
+        vocabulary, weight, [ids[i] for i in some.tolist()], labels[some], index, (sum(bare) + prior) / (len(bare) + 1), prior, empty, empty, neighbours
     )
     if index is not None:
         left_out = [(model.vote(near), model.labels[i]) for i, v in enumerate(vectors) if (near := index.nearest(v, neighbours, skip=i))]
@@ -281,6 +295,23 @@ def fit_examples(examples: list[tuple[int, str, bool]], neighbours: int = NEIGHB
     return model
 
 
+@dataclass(frozen=True)
+class Fitted:
+    """A model as it travels; a worker unpacks it once."""
+
+    payload: bytes
+    name: str
+
+    def model(self) -> Model:
+        if self.name not in _unpacked:
+            _unpacked.clear()
+            _unpacked[self.name] = pickle.loads(self.payload)
+        return _unpacked[self.name]
+
+
+_unpacked: dict[str, Model] = {}
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -290,7 +321,7 @@ def fit(
     max_examples: int = MAX_EXAMPLES,
     max_bytes: int = MAX_BYTES,
     neighbours: int = NEIGHBOURS,
-) -> Model:
+) -> Fitted:
     """``labels``: (doc_id, toxic), the rows that may be learned from."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).alias("toxic")).distinct()
@@ -311,15 +342,27 @@ def fit(
             taken.append((r["doc_id"], r["toxic"], r["digest"]))
     wanted = docs.sparkSession.createDataFrame(taken, "doc_id long, toxic boolean, digest string")
     texts = held.join(F.broadcast(wanted), ["doc_id", "toxic", "digest"], "left_semi").dropDuplicates(["doc_id", "toxic", "digest"])
-    return fit_examples([(r["doc_id"], r["text"], r["toxic"]) for r in texts.select("doc_id", "text", "toxic").toArrow().to_pylist()], neighbours)
+    spark = docs.sparkSession
+    ship(spark)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples: list[tuple[int, str, bool]] = []
+        for batch in batches:
+            examples.extend(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_examples(examples, neighbours))], pa.binary())], ["model"])
+
+    # At most max_examples rows and max_bytes go into that one task.
+    row = texts.select("doc_id", "text", "toxic").repartition(1).mapInArrow(learn, "model binary").first()
+    payload = bytes(row["model"]) if row else pickle.dumps(fit_examples([], neighbours))
+    return Fitted(payload, hashlib.sha256(payload).hexdigest())
 
 
-def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, model: Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, score, predicted, evidence (the nearest examples)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = shared.value
+        m = shared.value.model()
         scores, evidence = [], []
         for x in texts_of(batch.column(1)):
             s, near = m.score(x)
@@ -335,8 +378,13 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     return map_arrow(rows, step, "doc_id long, score double, predicted int, evidence array<struct<example:long,toxic:int,cosine:double>>")
 
 
-def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", *, threshold: float = 0.5) -> DataFrame:
+def keep_clean(docs: DataFrame, model: Fitted, text_col: str = "text", *, threshold: float = 0.5) -> DataFrame:
     """``docs`` without those that score ``threshold`` or more, all columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
-    return keep_rows(docs, lambda batch: [shared.value.score(x)[0] < threshold for x in texts_of(batch.column(at))])
+
+    def clean(batch: pa.RecordBatch) -> list[bool]:
+        m = shared.value.model()
+        return [m.score(x)[0] < threshold for x in texts_of(batch.column(at))]
+
+    return keep_rows(docs, clean)

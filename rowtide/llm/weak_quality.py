@@ -6,8 +6,9 @@ most 3 to the number of labellers patterns) estimates how each labeller votes on
 either class, and from that the posterior of every pattern.  A linear scorer over
 hashed words, word shapes and text statistics is then trained on posterior labels of
 at most ``sample`` rows (those of least hash, and as many of them as hold ``MAX_FEATURES``
-features together), so that it also judges texts on which every labeller is silent.  The
-scorer decides; a text is measured once for its votes and features.
+features together), so that it also judges texts on which every labeller is silent.  One
+task trains it; the driver sees vote patterns and weights only.  The scorer decides; a text
+is measured once for its votes and features.
 
 Defined cases: a null or empty text gets no votes and is scored by the scorer's bias and
 the features of an empty text; texts of any length are measured whole (the share of
@@ -22,7 +23,7 @@ import math
 import operator
 import zlib
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep_rows, map_arrow, text_or_empty, texts_of
+from .common import cut, keep_rows, map_arrow, ship, text_or_empty, texts_of
 
 LOW, SILENT, GOOD = 0, 1, 2
 SAMPLE = 12_000
 BUCKETS = 1 << 14
-#: Features that may reach the driver: 12 bytes each, 72 MB.
+#: Features that the training task may hold: 12 bytes each, 72 MB.
 MAX_FEATURES = 6_000_000
 #: Words over which the share of distinct words is taken.
 STRETCH = 4_000
@@ -274,12 +275,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, samp
     fits = int(np.searchsorted(held, MAX_FEATURES, "right"))
     if fits < len(held):
         described = described.where(F.col("h") < int(sizes.column("h")[fits].as_py()))
-    taken = described.orderBy("h", "doc_id", "code").toArrow()
-    examples = [
-        (np.asarray(a.values), np.asarray(v.values, np.float64)) for a, v in zip(taken.column("at"), taken.column("value"), strict=True)
-    ]
-    odds = np.array([max(-12.0, min(12.0, labels.log_odds(c))) for c in taken.column("code").to_pylist()])
-    return QualityModel(labels, train(examples, 1 / (1 + np.exp(-odds)), buckets))
+    ship(docs.sparkSession)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        held = pa.Table.from_batches(parts) if parts else None
+        rows, targets = [], np.empty(0)
+        if held is not None:
+            held = held.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("code", "ascending")])
+            rows = [(np.asarray(a.values), np.asarray(v.values, np.float64)) for a, v in zip(held.column("at"), held.column("value"), strict=True)]
+            targets = 1 / (1 + np.exp(-np.array([max(-12.0, min(12.0, labels.log_odds(c))) for c in held.column("code").to_pylist()])))
+        made = train(rows, targets, buckets)
+        yield pa.RecordBatch.from_arrays([pa.array([made.weights.tobytes()], pa.binary()), pa.array([made.bias])], ["weights", "bias"])
+
+    row = described.select("h", "doc_id", "code", "at", "value").repartition(1).mapInArrow(learn, "weights binary, bias double").first()
+    scorer = Scorer(np.frombuffer(bytes(row["weights"])).copy(), row["bias"]) if row else train([], np.empty(0), buckets)
+    return QualityModel(labels, scorer)
 
 
 def score_documents(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.5) -> DataFrame:
