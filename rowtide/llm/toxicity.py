@@ -56,7 +56,7 @@ BLOCK = 32
 #: A term that more than this share of the examples holds has a long list.
 LONG_SHARE = 1 / 8
 #: Words whose terms are remembered in a worker; the memory then starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
