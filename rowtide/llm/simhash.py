@@ -21,7 +21,6 @@ gives an empty result; extra columns are not looked at.
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,23 +28,12 @@ from pyspark.sql import functions as F
 from . import overlap
 from .common import cut, drop_grouped, map_arrow, text_or_empty, texts_of
 from .components import connected_components
-from .shingles import shingle_hashes
-
-#: Shingles whose bits are counted at a time.
-_SLICE = 1 << 14
+from .shingles import shingle_hashes, simhash
 
 
 def fingerprint(text: str, words: int = 3) -> int:
     """Signed 64-bit SimHash: a bit is set if it is set in over half the shingles."""
-    hashes = shingle_hashes(text, words)
-    if not len(hashes):
-        return 0
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), _SLICE):
-        part = hashes[at : at + _SLICE]
-        counts += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > len(hashes), bitorder="little")
-    return int(bits.view("<i8")[0])
+    return simhash(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:

@@ -1,11 +1,15 @@
 import random
+import time
+from pathlib import Path
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from corpus_fixtures import ODD, WORDS, prose
+from pyspark.sql import functions as F
 from test_dedup import brute_components
 
-from rowtide.llm import overlap
+from rowtide.llm import common, overlap, simhash
 
 #: Many different words, so that shingles are not shared by chance.
 LEXICON = [a + b + c for a in WORDS for b in ("", "en", "ish", "or") for c in ("", "s", "ly")]
@@ -61,3 +65,41 @@ def test_the_stage_drops_near_copies(spark, documents):
     left = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 3, 4]
     assert corpus_pipeline.drop_near_copies(spark, docs.where("false"), "").collect() == []
+
+
+def test_sketches_never_differ_in_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(-(1 << 62), 1 << 62, n)) for n in (0, 1, 40, 1500, 2100, 5000, 9000)]
+    sets += [np.unique(np.concatenate((x[len(x) // 9 :], rng.integers(-(1 << 62), 1 << 62, len(x) // 9)))) for x in sets]
+    pairs = [(x, y) for x in sets for y in sets]
+    least = overlap.apart([overlap.sketch(x) for x, _ in pairs], [overlap.sketch(y) for _, y in pairs])
+    true = [len(np.setxor1d(x, y)) for x, y in pairs]
+    assert (least <= true).all()
+    assert [n for n, (x, y) in zip(least, pairs, strict=True) if x is y] == [0] * len(sets)
+
+
+def test_only_pairs_that_may_be_alike_have_their_sets_made(documents, monkeypatch):
+    """Texts that share a long passage and are otherwise unlike: settled without whole sets."""
+    rng = random.Random(2)
+    passage = rng.choices(LEXICON, k=60)
+    docs = documents([(i, " ".join(passage + rng.choices(LEXICON, k=150))) for i in range(40)])
+    left = []
+    monkeypatch.setattr(overlap, "possible", lambda *a, f=overlap.possible: left.append(f(*a)) or left[-1])
+    monkeypatch.setattr(overlap, "forget", lambda *a: None)
+    assert overlap.near_groups(docs).where("kept").count() == 40
+    assert [x.count() for x in left] == [0, 0]
+
+
+def test_what_is_written_apart_leaves_no_shuffle_and_a_bounded_guess(spark):
+    folders = list(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs())
+    files = lambda: {f for d in folders for f in Path(d.getPath()).rglob("shuffle_*")}
+    before = files()
+    df = spark.range(1000).selectExpr("id % 77 AS k", "id AS v")
+    for _ in range(4):
+        df = common.cut(df.join(df.groupBy("k").agg(F.max("v").alias("m")), "k").where("v <= m").select("k", "v"))
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert df.count() == 1000 and df._jdf.queryExecution().logical().stats().sizeInBytes().bit_length() <= 63
+    common.forget(df)
