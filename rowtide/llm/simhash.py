@@ -30,6 +30,9 @@ from .common import cut, drop_grouped, map_arrow, text_or_empty, texts_of
 from .components import connected_components
 from .shingles import shingle_hashes, simhash
 
+#: Widest distance whose join keys have 16 bits or more (``similar_pairs``).
+WIDEST = 3
+
 
 def fingerprint(text: str, words: int = 3) -> int:
     """Signed 64-bit SimHash: a bit is set if it is set in over half the shingles."""
@@ -161,15 +164,26 @@ def near_groups(
     )
 
 
+def similar_pairs(prints: DataFrame, distance: int = WIDEST) -> DataFrame:
+    """(a, b) pairs of nodes (node, fp) whose fingerprints are equal or linked: of the nodes
+    of one fingerprint each with the least, of linked fingerprints the least of both."""
+    least = cut(prints.groupBy("fp").agg(F.min("node").alias("a")))
+    equal = prints.join(least, "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    linked = fingerprint_links(least.select("fp"), distance=distance).select(F.col("a").alias("fp"), F.col("b").alias("other"))
+    linked = linked.join(least, "fp").select("a", F.col("other").alias("fp")).join(least.withColumnRenamed("a", "b"), "fp")
+    return equal.unionByName(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: tuple[int, int] | None = None, **options) -> DataFrame:
     """``docs`` with one document of each group, all columns as they are.
 
     With a ``similarity`` (numerator, denominator) texts link by the Jaccard similarity of
-    their shingle sets instead of their fingerprints, see ``overlap``.
+    their shingle sets: fingerprints within ``WIDEST`` bits are joined and checked first,
+    pairs of the similarity whose fingerprints differ in more are found by ``overlap``.
     """
     if similarity:
         num, den = similarity
-        groups = overlap.near_groups(docs, id_col, text_col, num=num, den=den, **options)
+        groups = overlap.near_groups(docs, id_col, text_col, num=num, den=den, first=similar_pairs, **options)
     else:
         groups = near_groups(docs, id_col, text_col, **options)
     return drop_grouped(docs, groups, id_col, text_col)
