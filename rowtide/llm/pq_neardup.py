@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, forget, ship
 from .components import connected_components
 
 SAMPLE = 16_384
@@ -45,8 +46,10 @@ MIN_LISTS, MAX_LISTS = 4, 512
 CROWD, LEVELS, PLACED_AT_ONCE = 8, 4, 20_000
 CODEWORDS = 64
 SUBSPACES = 8
-#: Rows of one block; a task compares two blocks.
-BLOCK = 1024
+#: Rows of one block; a task compares two blocks, so many rows of one at a time.
+BLOCK, COMPARED_AT_ONCE = 4096, 1024
+#: Copies of a vector, one in each list it probes, that lie on disk at once.
+COPIES = 4
 #: Room for rounding in the two distance tests.
 SLACK = 1e-6
 
@@ -126,14 +129,18 @@ def _compare(index: Index, which: int, base: int, left: dict, right: dict, same:
         q = np.flatnonzero(raw["own"] != which) if swapped else np.arange(len(raw["own"]))
         if not len(m) or not len(q):
             continue
-        residual = raw["x"][q] - index.centroids[base]
-        approx = np.zeros((len(q), len(m)))
-        for j, book in enumerate(index.codebooks):
-            part = residual[:, index.edges[j] : index.edges[j + 1]]
-            tables = (part**2).sum(1)[:, None] - 2 * part @ book.T + (book**2).sum(1)[None, :]
-            approx += tables[:, members["code"][m, j]]
         reach = radius + members["error"][m] + SLACK
-        a, b = np.nonzero(approx <= (reach**2)[None, :])
+        close = []
+        for start in range(0, len(q), COMPARED_AT_ONCE):
+            residual = raw["x"][q[start : start + COMPARED_AT_ONCE]] - index.centroids[base]
+            approx = np.zeros((len(residual), len(m)))
+            for j, book in enumerate(index.codebooks):
+                part = residual[:, index.edges[j] : index.edges[j + 1]]
+                tables = (part**2).sum(1)[:, None] - 2 * part @ book.T + (book**2).sum(1)[None, :]
+                approx += tables[:, members["code"][m, j]]
+            x, y = np.nonzero(approx <= (reach**2)[None, :])
+            close.append((x + start, y))
+        a, b = (np.concatenate(x) for x in zip(*close, strict=True))
         i, j = (m[b], q[a]) if swapped else (q[a], m[b])
         if same:  # members meet each other once, visitors meet members once anyhow
             once = (left["own"][i] != which) | (i < j)
@@ -176,15 +183,15 @@ def _bytes_of(rows: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(flat), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())
 
 
-def part_crowded(placed: DataFrame, radius: float, width: str, rows_per_list: int, crowd: int, max_lists: int) -> DataFrame:
-    """``placed`` with its crowded lists parted, level by level.
+def part_crowded(placed: DataFrame, radius: float, width: str, rows_per_list: int, crowd: int, max_lists: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``placed`` with its crowded lists parted, level by level; and what was written for it.
 
     A list's number is its parent's times 1024 plus its own, so numbers never meet; rows
     that visit a list visit every part of it that could hold a partner.
     """
     key = ["label", "size", "list"]
     columns = placed.columns
-    done = None
+    done, written = None, []
     for _ in range(LEVELS):
         sizes = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("own") == F.col("list")).alias("members"))
         full = cut(sizes.where((F.col("n") > crowd) & (F.col("members") > 1)))
@@ -224,7 +231,8 @@ def part_crowded(placed: DataFrame, radius: float, width: str, rows_per_list: in
             return out
 
         placed = cut(rows.groupBy(*key, "slice").cogroup(sent.groupBy(*key, "slice")).applyInPandas(split, placed.schema))
-    return placed if done is None else done.unionByName(placed)
+        written += [full, models, placed]
+    return placed if done is None else done.unionByName(placed), written
 
 
 def near_vectors(
@@ -239,6 +247,7 @@ def near_vectors(
     block: int = BLOCK,
     crowd: int | None = None,
     max_lists: int = MAX_LISTS,
+    copies: int = COPIES,
 ) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept."""
     if not 2 <= max_lists <= 1024:
@@ -266,7 +275,9 @@ def near_vectors(
     by_size: dict[int, list] = {}
     for v in taken:
         by_size.setdefault(len(v), []).append(v)
-    lists = int(np.clip(n // rows_per_list, min(MIN_LISTS, max_lists), max_lists))
+    # Labels never meet, so the largest of them says how many lists are worth their visitors.
+    largest = reps.groupBy("label", F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    lists = int(np.clip(largest // rows_per_list, min(MIN_LISTS, max_lists), max_lists))
     fitted = {d: fit_index(_units(v), lists) for d, v in by_size.items()}
 
     def index_for(size: int) -> Index:
@@ -278,7 +289,10 @@ def near_vectors(
     placed_schema = "label string, size int, list long, own long, base int, rep long, weight long, x binary, code binary, error float"
     names = [f.strip().split(" ")[0] for f in placed_schema.split(",")]
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = [assign(fitted[d], _units(v[:COMPARED_AT_ONCE]), radius)[3].sum(axis=1) for d, v in by_size.items()]
+    waves = max(1, *(int(np.ceil(x.mean() / copies)) for x in seen)) if seen else 1
+
+    def place(batches: Iterator[pa.RecordBatch], wave: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label, v, rep, weight = batch.columns
             values, ends = v.flatten().to_numpy(zero_copy_only=False), np.cumsum(v.value_lengths().to_numpy())
@@ -287,7 +301,7 @@ def near_vectors(
                 at = np.flatnonzero(sizes == size)
                 x = values[(ends[at] - size)[:, None] + np.arange(size)].astype(width)
                 own, code, error, near = assign(index_for(size), _units(x), radius)
-                row, which = np.nonzero(near)
+                row, which = np.nonzero(near & (np.arange(near.shape[1]) % waves == wave))
                 take = pa.array(at[row])
                 # Top lists are numbered from 1, so that no part bears a top list's number.
                 columns = [
@@ -297,16 +311,7 @@ def near_vectors(
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     labelled = reps.select(F.col("label").cast("string").alias("label"), "v", "rep", "weight")
-    placed = part_crowded(cut(labelled.mapInArrow(place, placed_schema)), radius, width, rows_per_list, crowd or CROWD * rows_per_list, max_lists)
     key = ["label", "size", "list"]
-    # Written apart, so that Spark may split the rows of a crowded list in the join.
-    sizes = cut(placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    blocked = placed.join(sizes, key).withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
-    blocked = blocked.withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # Each block meets each: (b, every other) as a sorted pair.
-    met = blocked.select(*placed.columns, "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
-        *placed.columns, "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q")
-    )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         size, which, base = (int(pdf[c].iloc[0]) for c in ("size", "list", "base"))
@@ -338,7 +343,21 @@ def near_vectors(
         at = np.flatnonzero(linked)
         return pd.DataFrame({"rep": names[at], "links": linked[at], "lead": [lead.get(int(n), int(n)) for n in names[at]]})
 
-    found = cut(met.groupBy("label", "size", "list", "p", "q").applyInPandas(compare, "rep long, links long, lead long"))
+    found = None
+    for wave in range(waves):
+        here = cut(labelled.mapInArrow(partial(place, wave=wave), placed_schema))
+        placed, written = part_crowded(here, radius, width, rows_per_list, crowd or CROWD * rows_per_list, max_lists)
+        # Written apart, so that Spark may split the rows of a crowded list in the join.
+        sizes = cut(placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        blocked = placed.join(sizes, key).withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
+        blocked = blocked.withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        # Each block meets each: (b, every other) as a sorted pair.
+        met = blocked.select(*placed.columns, "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
+            *placed.columns, "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q")
+        )
+        links = cut(met.groupBy("label", "size", "list", "p", "q").applyInPandas(compare, "rep long, links long, lead long"))
+        forget(here, sizes, *written)
+        found = links if found is None else found.unionByName(links)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = connected_components(found.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")))
     named = (

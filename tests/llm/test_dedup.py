@@ -198,6 +198,19 @@ def test_near_vectors_against_brute_force(spark, monkeypatch, block, per_list, c
     assert sorted(map(tuple, got.collect())) == brute_vectors(rows)
 
 
+def test_lists_are_gone_through_in_waves(spark, monkeypatch):
+    """So that only so many copies of a vector lie on disk at once."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in (rng.normal(size=3) + (2 if i % 2 else 0)).astype(np.float32)], i % 2) for i in range(400)]
+    placed, deleted = [], []
+    monkeypatch.setattr(pq_neardup, "part_crowded", lambda p, *a, f=pq_neardup.part_crowded: placed.append(p.count()) or f(p, *a))
+    monkeypatch.setattr(pq_neardup, "forget", lambda *frames, f=pq_neardup.forget: deleted.append(len(frames)) or f(*frames))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted(map(tuple, pq_neardup.near_vectors(df, rows_per_list=10, copies=1).collect()))
+    assert got == brute_vectors(rows)
+    assert len(placed) > 1 and sum(placed) > len(rows) and max(placed) < sum(placed) and len(deleted) == len(placed)
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert pq_neardup.near_vectors(df).collect() == []
