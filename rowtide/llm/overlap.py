@@ -11,8 +11,8 @@ The order puts frequent shingles last.  Frequencies are counted on a bounded sam
 texts: they decide how many pairs are looked at, never which are found.
 
 Texts of equal shingle sets collapse to one node before any join.  Pairs that the caller
-found otherwise (SimHash fingerprints, see ``simhash``) are settled first.  The members of a
-key are then compared with its most common-worded member only; a key whose members then
+found otherwise (SimHash fingerprints, see ``simhash``) are checked first, and with them the
+members of a key against its most common-worded member only; a key whose members then
 belong to one component is settled.  Others compare what lies in different components,
 in blocks of about ``block`` members a task.
 
@@ -213,17 +213,11 @@ def links(
     partner = F.greatest(F.col("least"), F.ceil(F.col("size") * num / den))
     shared = cut(held.join(keys, "key").where(_may_reach(F.col("size"), F.col("at"), partner, num, den)).select("key", "node", "size", "at", "mid"))
     forget(held, keys)
-    known = check(first(nodes.select("node", "fp"))) if first else None
     alike = F.least("size", "mid.size") * den >= F.greatest("size", "mid.size") * num
-    stars = shared.where((F.col("node") != F.col("mid.node")) & alike).select(F.least("node", "mid.node").alias("a"), F.greatest("node", "mid.node").alias("b")).distinct()
-    if known is not None:
-        # Ends that fingerprints have joined already need no further link.
-        part = cut(connected_components(known))
-        x, y = (part.select(F.col("node").alias(n), F.col("component").alias(f"part_{n}")) for n in "ab")
-        stars = stars.join(x, "a", "left").join(y, "b", "left")
-        stars = stars.where(~F.coalesce(F.col("part_a") == F.col("part_b"), F.lit(False))).select("a", "b")
+    stars = shared.where((F.col("node") != F.col("mid.node")) & alike).select(F.least("node", "mid.node").alias("a"), F.greatest("node", "mid.node").alias("b"))
+    if first:
+        stars = first(nodes.select("node", "fp")).unionByName(stars)
     starred = check(stars)
-    starred = starred if known is None else starred.unionByName(known)
     placed = shared.join(connected_components(starred), "node", "left").select("key", "node", "size", "at", F.coalesce("component", "node").alias("part"))
     placed = cut(placed)
     forget(shared)

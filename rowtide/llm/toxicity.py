@@ -34,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import math
 import pickle
+import zlib
 import re
 from array import array
 from collections import Counter
@@ -305,7 +306,7 @@ class Fitted:
     def model(self) -> Model:
         if self.name not in _unpacked:
             _unpacked.clear()
-            _unpacked[self.name] = pickle.loads(self.payload)
+            _unpacked[self.name] = pickle.loads(zlib.decompress(self.payload))
         return _unpacked[self.name]
 
 
@@ -349,11 +350,11 @@ def fit(
         examples: list[tuple[int, str, bool]] = []
         for batch in batches:
             examples.extend(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_examples(examples, neighbours))], pa.binary())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(fit_examples(examples, neighbours)))], pa.binary())], ["model"])
 
     # At most max_examples rows and max_bytes go into that one task.
     row = texts.select("doc_id", "text", "toxic").repartition(1).mapInArrow(learn, "model binary").first()
-    payload = bytes(row["model"]) if row else pickle.dumps(fit_examples([], neighbours))
+    payload = bytes(row["model"]) if row else zlib.compress(pickle.dumps(fit_examples([], neighbours)))
     return Fitted(payload, hashlib.sha256(payload).hexdigest())
 
 
