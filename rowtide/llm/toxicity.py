@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep_rows, map_arrow, ship, text_or_empty, texts_of
+from .common import cut, keep_only, keep_rows, map_arrow, ship, text_or_empty, texts_of, unpacked
 
 MAX_EXAMPLES = 3_000
 MAX_BYTES = 64 << 20
@@ -304,13 +304,10 @@ class Fitted:
     name: str
 
     def model(self) -> Model:
-        if self.name not in _unpacked:
-            _unpacked.clear()
-            _unpacked[self.name] = pickle.loads(zlib.decompress(self.payload))
-        return _unpacked[self.name]
-
-
-_unpacked: dict[str, Model] = {}
+        if self.name not in unpacked:
+            keep_only(None)
+            unpacked[self.name] = pickle.loads(zlib.decompress(self.payload))
+        return unpacked[self.name]
 
 
 def fit(
@@ -376,7 +373,7 @@ def score_documents(docs: DataFrame, model: Fitted, id_col: str = "doc_id", text
         )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, step, "doc_id long, score double, predicted int, evidence array<struct<example:long,toxic:int,cosine:double>>")
+    return map_arrow(rows, step, "doc_id long, score double, predicted int, evidence array<struct<example:long,toxic:int,cosine:double>>", model.name)
 
 
 def keep_clean(docs: DataFrame, model: Fitted, text_col: str = "text", *, threshold: float = 0.5) -> DataFrame:
@@ -388,4 +385,4 @@ def keep_clean(docs: DataFrame, model: Fitted, text_col: str = "text", *, thresh
         m = shared.value.model()
         return [m.score(x)[0] < threshold for x in texts_of(batch.column(at))]
 
-    return keep_rows(docs, clean)
+    return keep_rows(docs, clean, model.name)

@@ -125,3 +125,17 @@ def test_the_stage_joins_fingerprints_and_loses_no_pair_beyond_them(documents, m
     near = {tuple(r) for r in given[0].collect()}
     assert near and {p for p in near if bits(p) <= simhash.WIDEST} == near and near & found[0]
     assert any(bits(p) > simhash.WIDEST for p in found[0] | found[1])
+
+
+def test_later_stages_do_not_keep_an_earlier_model(spark):
+    """A worker that scored toxicity drops the model when another operator's task begins."""
+    import pyarrow as pa
+
+    def held(batch):
+        common.unpacked.setdefault("model", 1)
+        return pa.RecordBatch.from_arrays([pa.array([len(common.unpacked)])], ["n"])
+
+    rows = spark.range(8).repartition(1)
+    assert common.map_arrow(rows, held, "n long", "model").first()["n"] == 1
+    look = lambda batch: pa.RecordBatch.from_arrays([pa.array([len(common.unpacked)])], ["n"])
+    assert common.map_arrow(rows, look, "n long").first()["n"] == 0
