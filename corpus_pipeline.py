@@ -13,6 +13,7 @@ an empty result; further columns, whatever their names, are handed on unread.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -20,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rowtide.llm import exact_dedup, packing, simhash, toxicity, weak_quality
-from rowtide.llm.common import checkpoint_dir, remove, table
+from rowtide.llm.common import checkpoint_dir, remove, rest, table
 from rowtide.llm.queries import toxicity_model
 
 
@@ -44,12 +45,23 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def rested(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage`` on executors that first gave back what the one before it needed."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rest(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("quality classifier", drop_low_quality),
-    ("exact dedup", drop_copies),
-    ("simhash near-dedup", drop_near_copies),
-    ("best-fit packing", pack),
+    ("toxicity", rested(drop_toxic)),
+    ("quality classifier", rested(drop_low_quality)),
+    ("exact dedup", rested(drop_copies)),
+    ("simhash near-dedup", rested(drop_near_copies)),
+    ("best-fit packing", rested(pack)),
 ]
 
 #: Learned scores and tokenizers are beyond SQL; tests compare the stages with brute force.

@@ -14,7 +14,9 @@ Texts of equal shingle sets collapse to one node before any join.  Pairs that th
 found otherwise (SimHash fingerprints, see ``simhash``) are checked first, and with them the
 members of a key against its most common-worded member only; a key whose members then
 belong to one component is settled.  Others compare what lies in different components,
-in blocks of about ``block`` members a task.
+in blocks of about ``block`` members a task.  There a pair is dropped where the keys just
+before show that it met earlier, as all keys come in the common order, and where its folded
+sketches differ too much.
 
 A pair is first judged by sketches: a shingle turns one bit over, so two sets differ in at
 least as many shingles as their sketches in bits.  Only what may still be similar has its
@@ -33,7 +35,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, flagged, forget, map_arrow, marks, ship, text_or_empty, texts_of
@@ -48,6 +50,10 @@ BROADCAST_KEYS = 500_000
 #: Bits of the least sketch; partners that meet a shared one in a place.
 SKETCH_BITS = 1024
 PARTNERS = 32
+#: Words of 64 bits of a folded sketch, which joins compare by themselves.
+FOLD_WORDS = 8
+#: Keys of a text before each of its keys that are looked at for an earlier meeting.
+EARLIER = 16
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
@@ -62,6 +68,17 @@ def sketch(found: np.ndarray) -> bytes:
     return np.packbits(np.bincount(found & (bits - 1), minlength=bits) & 1, bitorder="little").tobytes()
 
 
+def fold(held: bytes) -> np.ndarray:
+    """A sketch laid together to FOLD_WORDS words: sets differ in as many shingles or more."""
+    return np.bitwise_xor.reduce(np.frombuffer(held, "<i8").reshape(-1, FOLD_WORDS), axis=0)
+
+
+def _folds_near(num: int, den: int) -> Column:
+    """Whether the folded sketches of x and y leave room for the similarity."""
+    differ = sum((F.bit_count(F.col("x.fold")[i].bitwiseXOR(F.col("y.fold")[i])) for i in range(FOLD_WORDS)), F.lit(0))
+    return differ * (num + den) <= (F.col("x.size") + F.col("y.size")) * (den - num)
+
+
 def apart(left: list[bytes], right: list[bytes]) -> np.ndarray:
     """Of pairs of sketches, in how many shingles their sets differ at least."""
     out = np.empty(len(left), np.int64)
@@ -100,12 +117,12 @@ def frequent(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> DataFrame:
-    """(doc_id, text_hash, n_bytes, node, fp, size, rare, sketch, prefix) of every row."""
+    """(doc_id, text_hash, n_bytes, node, fp, size, rare, sketch, fold, prefix) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, text_col, words))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         known, counts = shared.value
-        nodes, prints, sizes, rare, sketches, heads = [], [], [], [], [], []
+        nodes, prints, sizes, rare, sketches, folds, heads = [], [], [], [], [], [], []
         for x in texts_of(batch.column(3)):
             hashes = shingle_hashes(x, words)
             s = np.unique(hashes.view(np.int64))
@@ -120,16 +137,17 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, num: int,
             sizes.append(n)
             rare.append(float((often == 0).sum() / max(n, 1)))
             sketches.append(sketch(s))
+            folds.append(fold(sketches[-1]))
             heads.append(s[np.lexsort((s, often))[:head]])
         return pa.RecordBatch.from_arrays(
             [
                 *batch.columns[:3], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()),
-                pa.array(rare, pa.float64()), pa.array(sketches, pa.binary()), pa.array(heads, pa.list_(pa.int64())),
+                pa.array(rare, pa.float64()), pa.array(sketches, pa.binary()), pa.array(folds, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64())),
             ],
-            ["doc_id", "text_hash", "n_bytes", "node", "fp", "size", "rare", "sketch", "prefix"],
+            ["doc_id", "text_hash", "n_bytes", "node", "fp", "size", "rare", "sketch", "fold", "prefix"],
         )
 
-    return map_arrow(_rows(docs, id_col, text_col), step, "doc_id long, text_hash long, n_bytes long, node long, fp long, size int, rare double, sketch binary, prefix array<long>")
+    return map_arrow(_rows(docs, id_col, text_col), step, "doc_id long, text_hash long, n_bytes long, node long, fp long, size int, rare double, sketch binary, fold array<long>, prefix array<long>")
 
 
 def _may_reach(size: Column, at: Column, other: Column, num: int, den: int) -> Column:
@@ -202,7 +220,7 @@ def links(
 ) -> DataFrame:
     """(a, b) links between nodes: pairs of the similarity asked for, with the same
     components as all such pairs."""
-    nodes = cut(prints.groupBy("node").agg(F.any_value(F.struct("fp", "size", "rare", "sketch", "prefix")).alias("of")).select("node", "of.*"))
+    nodes = cut(prints.groupBy("node").agg(F.any_value(F.struct("fp", "size", "rare", "sketch", "fold", "prefix")).alias("of")).select("node", "of.*"))
     check = lambda pairs: confirmed(pairs, docs, prints, nodes, id_col, text_col, words, num, den)
     keyed = nodes.select("node", "size", "rare", F.posexplode("prefix").alias("at", "key"))
     # Most keys are held by one text only and fall out by their count alone.
@@ -223,10 +241,12 @@ def links(
     forget(shared)
     open_keys = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
     open_keys = cut(open_keys.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    left = placed.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Texts that share a key share many; a pair meets anew only where the keys before tell no earlier one.
+    earlier = F.collect_list("key").over(Window.partitionBy("node").orderBy("at").rowsBetween(-EARLIER, -1))
+    left = placed.join(open_keys, "key").withColumn("earlier", earlier).join(nodes.select("node", "fold"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Each pair of blocks meets in one place: (smaller, larger).
     met = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    left = left.select("key", "node", "size", "at", "part", "own", met).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+    left = left.select("key", "node", "size", "at", "part", "fold", "earlier", "own", met).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
     x, y = left.alias("x"), left.alias("y")
     sizes = F.least("x.size", "y.size") * den >= F.greatest("x.size", "y.size") * num
     rest = x.join(
@@ -238,8 +258,10 @@ def links(
         & (F.col("x.part") != F.col("y.part"))
         & ((F.col("x.own") != F.col("y.own")) | (F.col("x.p") == F.col("x.q")))
         & sizes
+        & _folds_near(num, den)
         & _may_reach(F.col("x.size"), F.col("x.at"), F.col("y.size"), num, den)
-        & _may_reach(F.col("y.size"), F.col("y.at"), F.col("x.size"), num, den),
+        & _may_reach(F.col("y.size"), F.col("y.at"), F.col("x.size"), num, den)
+        & ~F.arrays_overlap("x.earlier", "y.earlier"),
     ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     found = starred.unionByName(check(rest))
     forget(placed, open_keys, nodes)

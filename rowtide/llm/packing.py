@@ -19,7 +19,6 @@ an empty result; extra columns are not looked at.
 from __future__ import annotations
 
 import bisect
-import os
 import zlib
 from dataclasses import dataclass, field
 
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, texts_of
+from .common import cut, map_arrow, texts_of, unpacked
 from .token_count import tokenizer
 
 CAPACITY = 2048
@@ -118,14 +117,11 @@ class WordIds:
         return [b"".join(map(cache.__getitem__, words)) for words in split]
 
 
-_words: dict[tuple[str, int], WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    key = (path, os.getpid())
-    if key not in _words:
-        _words[key] = WordIds(path)
-    return _words[key]
+    """The ids that this worker remembers, until a task begins that does not use them."""
+    if path not in unpacked:
+        unpacked[path] = WordIds(path)
+    return unpacked[path]
 
 
 def pieces(
@@ -162,7 +158,7 @@ def pieces(
         return pa.RecordBatch.from_arrays(out, names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, step, schema)
+    return map_arrow(rows, step, schema, tokenizer_path)
 
 
 @dataclass

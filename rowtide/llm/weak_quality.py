@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep_rows, map_arrow, text_or_empty, texts_of
+from .common import cut, give_back, keep_rows, map_arrow, text_or_empty, texts_of
 
 LOW, SILENT, GOOD = 0, 1, 2
 SAMPLE = 12_000
@@ -279,7 +279,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, samp
         (np.asarray(a.values), np.asarray(v.values, np.float64)) for a, v in zip(taken.column("at"), taken.column("value"), strict=True)
     ]
     odds = np.array([max(-12.0, min(12.0, labels.log_odds(c))) for c in taken.column("code").to_pylist()])
-    return QualityModel(labels, train(examples, 1 / (1 + np.exp(-odds)), buckets))
+    scorer = train(examples, 1 / (1 + np.exp(-odds)), buckets)
+    del taken, examples
+    give_back()
+    return QualityModel(labels, scorer)
 
 
 def score_documents(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.5) -> DataFrame:

@@ -139,3 +139,53 @@ def test_later_stages_do_not_keep_an_earlier_model(spark):
     assert common.map_arrow(rows, held, "n long", "model").first()["n"] == 1
     look = lambda batch: pa.RecordBatch.from_arrays([pa.array([len(common.unpacked)])], ["n"])
     assert common.map_arrow(rows, look, "n long").first()["n"] == 0
+
+
+def test_workers_drop_what_packing_remembers(spark):
+    """The words of a packing worker go when another operator's task begins."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from rowtide.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = spark.range(8).repartition(1)
+    count = lambda batch: pa.RecordBatch.from_arrays([pa.array([len(common.unpacked)])], ["n"])
+    assert common.map_arrow(rows, lambda batch: packing.word_ids(path) and count(batch), "n long", path).first()["n"] == 1
+    assert common.map_arrow(rows, count, "n long").first()["n"] == 0
+
+
+def test_each_stage_begins_with_executors_at_rest(spark, documents, monkeypatch):
+    done = []
+    monkeypatch.setattr(corpus_pipeline, "rest", lambda s, f=common.rest: done.append(f(s)))
+    for _, stage in corpus_pipeline.STAGES[2:]:
+        assert stage(spark, documents([(1, "one two three")]), "").count() == 1
+    assert len(done) == 3
+
+
+def test_a_pair_meets_once_however_many_keys_it_shares(documents, monkeypatch):
+    """A common passage gives many keys; texts that hold it are not joined at each of them."""
+    rng = random.Random(4)
+    rows = []
+    for group in range(20):
+        passage = rng.choices(LEXICON, k=60)
+        rows += [(3 * group + i, " ".join(passage + rng.choices(LEXICON, k=150))) for i in range(3)]
+    docs, given = documents(rows), []
+    keep = lambda pairs, *a, f=overlap.confirmed: given.append(tuple(map(tuple, pairs.collect()))) or f(pairs, *a)
+    monkeypatch.setattr(overlap, "confirmed", keep)
+    judged = overlap._folds_near
+    monkeypatch.setattr(overlap, "_folds_near", lambda *a: F.lit(True))
+    assert overlap.near_groups(docs).where("kept").count() == 60
+    assert len(given[1]) == len(set(given[1])) > 20
+    monkeypatch.setattr(overlap, "_folds_near", judged)
+    assert overlap.near_groups(docs).where("kept").count() == 60
+    assert not given[3]
+
+
+def test_folded_sketches_never_differ_in_more_than_the_sets():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 40, 600, 5000):
+        common_part, x, y = (rng.integers(-(2**63), 2**63 - 1, m, np.int64) for m in (n, n // 9, n // 7))
+        a, b = (np.unique(np.concatenate((common_part, z))) for z in (x, y))
+        differ = int(np.bitwise_count((overlap.fold(overlap.sketch(a)) ^ overlap.fold(overlap.sketch(b))).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(a, b))
